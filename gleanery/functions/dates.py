@@ -18,7 +18,10 @@ _MAIL_SHAPE = r"^([A-Za-z]{3,9},?\s+)?\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
 
 # The zone names of RFC 822 and their offsets.
 _ZONES = {
-    "UT|UTC|GMT|Z": "+0000",
+    "UT": "+0000",
+    "UTC": "+0000",
+    "GMT": "+0000",
+    "Z": "+0000",
     "EST": "-0500",
     "EDT": "-0400",
     "CST": "-0600",
@@ -36,21 +39,20 @@ def parse_iso(text: Column) -> Column:
 
 
 def _parse_mail(text: Column) -> Column:
-    body = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
-    body = F.regexp_replace(body, r"^(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+", "$1 $2 ")
-    body = F.regexp_replace(body, r"\s+", " ")
-    for names, offset in _ZONES.items():
-        body = F.regexp_replace(body, f"(?i) ({names})$", f" {offset}")
-    return F.try_to_timestamp(body, F.lit("d MMM yyyy[ HH:mm[:ss]][ xx]"))
+    # "[weekday, ]day month year[ rest]": weekday dropped, month cut to three letters.
+    body = F.regexp_replace(
+        text, r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4})\s*", "$1 $2 $3 "
+    )
+    zones = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+    offset = F.try_element_at(zones, F.upper(F.regexp_extract(body, r" ([A-Za-z]{1,3})$", 1)))
+    numeric = F.concat(F.regexp_replace(body, r"\s*[A-Za-z]{1,3}$", " "), offset)
+    return F.try_to_timestamp(F.rtrim(F.coalesce(numeric, body)), F.lit("d MMM yyyy[ H:mm[:ss]][ xx]"))
 
 
 def parse_date(text: Column) -> Column:
     """TIMESTAMP of an ISO 8601 or mail-style date text, NULL when unreadable."""
     clean = strip_white(text)
-    return (
-        F.when(clean.rlike(_ISO_SHAPE), clean.try_cast("timestamp"))
-        .when(clean.rlike(_MAIL_SHAPE), _parse_mail(clean))
-    )
+    return F.coalesce(parse_iso(clean), F.when(clean.rlike(_MAIL_SHAPE), _parse_mail(clean)))
 
 
 def iso_text(ts: Column) -> Column:

@@ -11,13 +11,17 @@ from pyspark.sql import types as T
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+# An array of nothing but JSON strings, which is nearly every stored value.
+_ITEM = r'"(?:[^"\\]|\\.)*+"'
+_STRINGS_ONLY = rf"(?s)^\s*\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*+)?\]\s*$"
+
 
 def _parse(text: Column, element: str) -> Column:
     # The JSON reader stops after the first complete value. Nesting the text inside an object
     # turns trailing junk into a syntax error instead of letting it pass.
     wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    parsed = F.from_json(wrapped, f"v array<{element}>", _STRICT)["v"]
-    return F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), parsed)
+    closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("]")
+    return F.when(closed, F.from_json(wrapped, f"v array<{element}>", _STRICT)["v"])
 
 
 def parse_json_array(text: Column, default: Column | None = None) -> Column:
@@ -28,8 +32,9 @@ def parse_json_array(text: Column, default: Column | None = None) -> Column:
 
 def parse_string_items(text: Column) -> Column:
     """As :func:`parse_json_array`, keeping only the elements that are JSON strings."""
-    items = F.filter(_parse(text, "variant"), lambda v: F.schema_of_variant(v) == "STRING")
-    return F.transform(items, lambda v: v.cast("string"))
+    mixed = F.filter(_parse(text, "variant"), lambda v: F.schema_of_variant(v) == "STRING")
+    strings = F.transform(mixed, lambda v: v.cast("string"))
+    return F.when(text.rlike(_STRINGS_ONLY), F.from_json(text, "array<string>", _STRICT)).otherwise(strings)
 
 
 def empty_array() -> Column:
@@ -47,10 +52,10 @@ def as_array(df: DataFrame, name: str) -> Column:
 
 def as_label_set(df: DataFrame, name: str) -> Column:
     """The column as a set of strings: other element types dropped, duplicates collapsed."""
-    items = F.col(name) if is_array(df, name) else parse_string_items(F.col(name))
-    return F.array_distinct(F.array_compact(items))
+    items = F.array_compact(name) if is_array(df, name) else parse_string_items(F.col(name))
+    return F.array_distinct(items)
 
 
-def exploded(df: DataFrame, name: str) -> Column:
+def explode_labels(df: DataFrame, name: str, alias: str, *keep: str) -> DataFrame:
     """One row per element, null elements left out; an absent or empty array gives no row."""
-    return F.explode(F.array_compact(as_array(df, name)))
+    return df.select(*keep, F.explode(as_array(df, name)).alias(alias)).where(F.col(alias).isNotNull())

@@ -37,7 +37,8 @@ def agreement_global(df: DataFrame, a: str, b: str, empty_is_match: bool = True)
 
 def agreement_by_label(df: DataFrame, a: str, b: str, labels: Sequence[str] = LABELS) -> DataFrame:
     """``rang, theme, accord, mistral_seul, ml_seul`` for every label of the set, zeros kept."""
-    sets = _both(df, a, b).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # A missing side makes the union NULL, so rows not labelled by both drop out in the explode.
+    sets = _both(df, a, b)
     in_a, in_b = F.array_contains("a", F.col("theme")), F.array_contains("b", F.col("theme"))
     counts = (
         sets.select("a", "b", F.explode(F.array_union("a", "b")).alias("theme"))

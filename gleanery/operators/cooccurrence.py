@@ -7,7 +7,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonarrays import exploded
+from ..functions.jsonarrays import explode_labels
 from ..model import MIN_SUPPORT, TOP_PAIRS
 
 # Rows of a basket handled together; larger baskets are spread over several tasks.
@@ -17,7 +17,7 @@ SEEDS = 64
 
 def item_tags(articles: DataFrame, item: str = "id", tags: str = "tags") -> DataFrame:
     """``id, tag`` rows of articles holding a tag array."""
-    return articles.select(F.col(item).alias("id"), exploded(articles, tags).alias("tag"))
+    return explode_labels(articles, tags, "tag", item).withColumnRenamed(item, "id")
 
 
 def tag_cooccurrence(

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonarrays import as_array
-from ..functions.labels import canonical_only
+from ..functions.labels import label_array
 from ..model import LABELS, SAMPLE_TARGET
 
 
 def _by_label(articles: DataFrame, labels: Sequence[str], extra: str | None = None) -> DataFrame:
     """``id, source, theme`` per canonical label, plus one ``extra`` row for articles having any."""
-    themes = F.array_distinct(canonical_only(as_array(articles, "themes_mistral"), labels))
+    themes = F.array_intersect(as_array(articles, "themes_mistral"), label_array(labels))
     if extra is not None:
         themes = F.when(F.size(themes) > 0, F.array_append(themes, F.lit(extra)))
     return articles.select("id", "source", F.explode(themes).alias("theme"))

@@ -30,22 +30,40 @@ def calendar(articles: DataFrame) -> DataFrame:
 def daily_aggregate(articles: DataFrame) -> DataFrame:
     """``date, est_total, thematique, nb_articles, score_moyen`` per day and theme, plus day totals.
 
-    The total must not come from exploded themes: it would count multi-theme rows several times
-    and miss rows without themes. Each article therefore emits one total element besides its
-    themes, which gives both kinds of rows from a single scan and a single shuffle.
+    The total must not come from summed theme rows: they count a multi-theme article several times
+    and miss one without themes. Every article gives at least one row and exactly one head row (its
+    first theme, or the empty row of an article without themes); the total is taken on heads. So
+    one scan and one shuffle serve both kinds of rows, the split happens on the grouped result.
     """
-    themes = F.coalesce(
-        F.array_compact(as_array(articles, "themes_mistral")), F.array().cast("array<string>")
+    rows = _with_day(articles).select(
+        "date", "score_mistral", F.posexplode_outer(as_array(articles, "themes_mistral")).alias("pos", "thematique")
     )
-    elements = F.concat(
-        F.array(F.struct(F.lit(True).alias("est_total"), F.lit(None).cast("string").alias("thematique"))),
-        F.transform(themes, lambda t: F.struct(F.lit(False).alias("est_total"), t.alias("thematique"))),
+    head = F.coalesce("pos", F.lit(0)) == 0
+    score_of_head = F.when(head, F.col("score_mistral"))
+    cells = rows.groupBy("date", "thematique").agg(
+        F.count("*").alias("n"),
+        F.sum("score_mistral").alias("s"),
+        F.count("score_mistral").alias("k"),
+        F.count_if(head).alias("n_head"),
+        F.sum(score_of_head).alias("s_head"),
+        F.count(score_of_head).alias("k_head"),
     )
+    theme = F.struct(F.lit(False).alias("est_total"), F.col("thematique"), "n", "s", "k")
+    total = F.struct(
+        F.lit(True).alias("est_total"),
+        F.lit(None).cast("string").alias("thematique"),
+        F.col("n_head").alias("n"),
+        F.col("s_head").alias("s"),
+        F.col("k_head").alias("k"),
+    )
+    both = F.when(F.col("thematique").isNull(), F.array(total)).otherwise(F.array(theme, total))
     return (
-        _with_day(articles)
-        .select("date", "score_mistral", F.inline(elements))
+        cells.select("date", F.inline(both))
         .groupBy("date", "est_total", "thematique")
-        .agg(F.count("*").alias("nb_articles"), F.avg("score_mistral").alias("score_moyen"))
+        .agg(
+            F.sum("n").alias("nb_articles"),
+            F.try_divide(F.sum("s"), F.sum("k")).alias("score_moyen"),
+        )
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonarrays import as_array, empty_array, exploded
+from ..functions.jsonarrays import as_array, explode_labels
 from ..functions.labels import canonical_only, out_of_reference
 from ..model import LABELS
 
@@ -15,7 +15,7 @@ from ..model import LABELS
 def theme_counts(articles: DataFrame, column: str = "themes_mistral") -> DataFrame:
     """``theme, nb``, most frequent first. A label repeated in one row counts each time."""
     return (
-        articles.select(exploded(articles, column).alias("theme"))
+        explode_labels(articles, column, "theme")
         .groupBy("theme")
         .agg(F.count("*").alias("nb"))
         .orderBy(F.desc("nb"), "theme")
@@ -27,18 +27,14 @@ def source_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("source").agg(F.count("*").alias("nb")).orderBy(F.desc("nb"), "source")
 
 
-def _tagged(articles: DataFrame, annotator: str, column: str) -> Column:
-    themes = F.coalesce(F.array_compact(as_array(articles, column)), empty_array())
-    return F.transform(themes, lambda t: F.struct(t.alias("theme"), F.lit(annotator).alias("source_annotation")))
-
-
 def theme_frequency(
     articles: DataFrame, annotators: Mapping[str, str], labels: Sequence[str] = LABELS
 ) -> DataFrame:
     """``theme, source_annotation, nb, hors_referentiel`` for several label columns in one scan."""
-    tagged = [_tagged(articles, name, column) for name, column in annotators.items()]
+    stacked = [x for name, column in annotators.items() for x in (F.lit(name), F.col(column))]
+    each = articles.select(F.stack(F.lit(len(annotators)), *stacked).alias("source_annotation", "themes"))
     return (
-        articles.select(F.inline(F.concat(*tagged)))
+        explode_labels(each, "themes", "theme", "source_annotation")
         .groupBy("theme", "source_annotation")
         .agg(F.count("*").alias("nb"))
         .withColumn("hors_referentiel", out_of_reference(F.col("theme"), labels))
@@ -55,7 +51,7 @@ def label_frame(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 def label_distribution(rows: DataFrame, column: str, labels: Sequence[str] = LABELS) -> DataFrame:
     """``rang, theme, nb`` for every label of the set, zeros kept, in reporting order."""
     counts = (
-        rows.select(exploded(rows, column).alias("theme"))
+        explode_labels(rows, column, "theme")
         .where(F.col("theme").isin(list(labels)))
         .groupBy("theme")
         .agg(F.count("*").alias("nb"))
@@ -77,33 +73,29 @@ def sample_coverage(sample: DataFrame, labels: Sequence[str] = LABELS) -> tuple[
 def corpus_profile(articles: DataFrame) -> DataFrame:
     """``articles, avec_tags, tags_distincts, premiere_date, derniere_date, sans_date`` in one row.
 
-    Each article emits one marker element besides its tags, so a single scan and one shuffle on
-    the tag (the markers folded map-side) give both row measures and the distinct count.
+    One scan: every article gives at least one row and exactly one head row (its first tag, or the
+    empty row of an article without tags), so row measures are taken on heads while the grouping
+    by tag, folded map-side, gives the distinct count.
     """
     has_tags = F.coalesce(F.col("tags") != F.lit("[]"), F.lit(False))
-    tags = F.coalesce(F.array_compact(as_array(articles, "tags")), empty_array())
-    elements = F.concat(
-        F.array(F.struct(F.lit(True).alias("ligne"), F.lit(None).cast("string").alias("tag"))),
-        F.transform(tags, lambda t: F.struct(F.lit(False).alias("ligne"), t.alias("tag"))),
+    rows = articles.select(
+        "date_article", has_tags.alias("avec"), F.posexplode_outer(as_array(articles, "tags")).alias("pos", "tag")
     )
-    per_tag = (
-        articles.select("date_article", has_tags.alias("avec"), F.explode(elements).alias("e"))
-        .groupBy("e.ligne", "e.tag")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if("avec").alias("avec"),
-            F.min("date_article").alias("premiere"),
-            F.max("date_article").alias("derniere"),
-            F.count_if(F.col("date_article").isNull()).alias("sans"),
-        )
+    head = F.coalesce("pos", F.lit(0)) == 0
+    per_tag = rows.groupBy("tag").agg(
+        F.count_if(head).alias("n"),
+        F.count_if(head & F.col("avec")).alias("avec"),
+        F.min("date_article").alias("premiere"),
+        F.max("date_article").alias("derniere"),
+        F.count_if(head & F.col("date_article").isNull()).alias("sans"),
     )
     return per_tag.agg(
-        F.coalesce(F.sum(F.when(F.col("ligne"), F.col("n"))), F.lit(0)).alias("articles"),
-        F.coalesce(F.sum(F.when(F.col("ligne"), F.col("avec"))), F.lit(0)).alias("avec_tags"),
-        F.count_if(~F.col("ligne")).alias("tags_distincts"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("articles"),
+        F.coalesce(F.sum("avec"), F.lit(0)).alias("avec_tags"),
+        F.count("tag").alias("tags_distincts"),
         F.min("premiere").alias("premiere_date"),
         F.max("derniere").alias("derniere_date"),
-        F.coalesce(F.sum(F.when(F.col("ligne"), F.col("sans"))), F.lit(0)).alias("sans_date"),
+        F.coalesce(F.sum("sans"), F.lit(0)).alias("sans_date"),
     )
 
 
@@ -122,7 +114,7 @@ def frequent_tags(articles: DataFrame, themes: Mapping[str, str], min_count: int
     Tags outside the mapping are grouped under NULL.
     """
     counts = (
-        articles.select(exploded(articles, "tags").alias("tag"))
+        explode_labels(articles, "tags", "tag")
         .groupBy("tag")
         .agg(F.count("*").alias("nb"))
         .where(F.col("nb") >= min_count)
