@@ -18,19 +18,17 @@ class AnnotationsRejected(ValueError):
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``ligne, texte, id_texte, id, themes`` of data lines, split at the first comma."""
-    comma = F.instr("texte", ",")
-    id_text = F.when(comma > 0, strip_white(F.expr("substring(texte, 1, instr(texte, ',') - 1)")))
-    cell = F.when(comma > 0, F.expr("substring(texte, instr(texte, ',') + 1)"))
-    # An empty id reads as zero and "12.0" as twelve, as in the number rules of the sheet's tool.
-    decimal = F.col("id_texte").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    number = F.when(F.col("id_texte") == "", F.lit(0.0)).when(decimal, F.col("id_texte").try_cast("double"))
-    whole = F.col("id_texte").try_cast("bigint")
-    fallback = F.when((number == F.floor(number)) & (F.abs(number) < 9e15), number.cast("bigint"))
-    return (
-        lines.select("ligne", "texte", id_text.alias("id_texte"), split_labels(cell).alias("themes"))
-        .withColumn("id", F.coalesce(F.when(decimal, whole), fallback))
-        .select("ligne", "texte", "id_texte", "id", "themes")
+    before = F.substring_index("texte", ",", 1)
+    split = lines.select(
+        "ligne",
+        "texte",
+        F.when(F.contains("texte", F.lit(",")), strip_white(before)).alias("id_texte"),
+        split_labels(F.substr("texte", F.length(before) + 2)).alias("themes"),
     )
+    # An empty id reads as zero and "12.0" as twelve, as in the number rules of the sheet's tool.
+    number = F.when(F.col("id_texte") == "", "0").otherwise(F.col("id_texte")).try_cast("decimal(38, 18)")
+    whole = number.try_cast("bigint")
+    return split.select("ligne", "texte", "id_texte", F.when(whole == number, whole).alias("id"), "themes")
 
 
 def validate_annotations(

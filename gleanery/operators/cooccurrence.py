@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonarrays import explode_labels
@@ -31,16 +31,16 @@ def tag_cooccurrence(
     Pairs below ``min_support`` are left out and the ``top`` best kept, ties by tag. Three exact
     cuts keep the pair volume down: a tag on fewer than ``min_support`` rows cannot be in a kept
     pair; with ``top``, neither can a tag rarer than the ``top``-th best pair among the ``seeds``
-    most frequent tags; and pairs are counted map-side before they are shuffled. Set ``seeds`` to
-    0 to save that extra pass where it would cut nothing.
+    most frequent tags; and pairs are counted map-side before they are shuffled. ``seeds=0``
+    turns the second cut off.
     """
     rows = rows.where(F.col("tag").isNotNull())
-    occurrences = rows.groupBy("tag").agg(F.count("*").alias("n"))
-    floor: Column = F.lit(min_support)
+    occurrences = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    frequent = occurrences
     if top is not None and seeds:
-        floor = F.greatest(floor, F.coalesce(_seed_bound(rows, occurrences, top, seeds).scalar(), floor))
-    frequent = occurrences.where(F.col("n") >= floor).select("tag")
-    pairs = _pair_support(_baskets(rows.join(frequent, "tag", "left_semi")))
+        bound: Column = _seed_bound(rows, occurrences, top, seeds).scalar()
+        frequent = occurrences.where(F.col("n") >= F.coalesce(bound, F.lit(0)))
+    pairs = _pair_support(_baskets(rows.join(frequent.select("tag"), "tag", "left_semi")))
     kept = pairs.where(F.col("support") >= min_support)
     if top is None:
         return kept
@@ -48,13 +48,19 @@ def tag_cooccurrence(
 
 
 def _seed_bound(rows: DataFrame, occurrences: DataFrame, top: int, seeds: int) -> DataFrame:
-    """One value: support of the ``top``-th best pair of seed tags, NULL when there are fewer pairs."""
+    """One value: support of the ``top``-th best pair of seed tags, NULL when it would cut nothing.
+
+    With no more tags than seeds the seed list comes out empty, and adaptive execution then skips
+    the pass over the rows.
+    """
     wanted = max(seeds, ceil(2 * sqrt(top)) + 1)
-    best = occurrences.orderBy(F.desc("n"), "tag").limit(wanted).select("tag")
-    # At most ``wanted`` rows, whatever the data.
+    leaders = occurrences.orderBy(F.desc("n"), "tag").limit(wanted + 1)
+    found = F.count("*").over(Window.partitionBy(F.lit(0)))
+    best = leaders.withColumn("found", found).where(F.col("found") > wanted).select("tag")
+    # At most ``wanted + 1`` rows, whatever the data.
     seeded = rows.join(F.broadcast(best), "tag", "left_semi")
-    leaders = _pair_support(_baskets(seeded)).orderBy(F.desc("support")).limit(top)
-    return leaders.agg(F.when(F.count("*") == top, F.min("support")))
+    strongest = _pair_support(_baskets(seeded)).orderBy(F.desc("support")).limit(top)
+    return strongest.agg(F.when(F.count("*") == top, F.min("support")))
 
 
 def _baskets(rows: DataFrame) -> DataFrame:

@@ -29,16 +29,17 @@ def absent_from(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose URL is not stored yet.
 
     A plain anti join would shuffle every stored URL. The stored side is first narrowed by a semi
-    join with the incoming URLs, which are the small side: Catalyst broadcasts them below its size
+    join with the distinct incoming URLs, the small side: Catalyst broadcasts them below its size
     threshold and shuffles otherwise.
     """
-    known = existing.select("url").join(rows.select("url"), "url", "left_semi").distinct()
+    incoming = rows.select("url").distinct()
+    known = existing.select("url").join(incoming, "url", "left_semi").distinct()
     return rows.join(known, "url", "left_anti")
 
 
 def new_articles(existing: DataFrame, candidates: DataFrame, order: str) -> DataFrame:
     """Candidate rows to append, first of each URL, with ids following the highest stored one."""
-    fresh = absent_from(first_per_url(candidates, order).drop(order), existing)
+    fresh = first_per_url(absent_from(candidates, existing), order).drop(order)
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
     return fresh.select((highest + 1 + F.monotonically_increasing_id()).alias("id"), *fresh.columns)
 

@@ -10,7 +10,13 @@ from ..sources.tables import table
 
 
 def _labels(*cases: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, F.lit(label)) for cond, label in cases]))
+    """JSON text of the labels whose condition holds."""
+    return _json(*[F.when(cond, F.lit(label)) for cond, label in cases])
+
+
+def _json(*items: Column) -> Column:
+    quoted = [F.concat(F.lit('"'), item, F.lit('"')) for item in items]
+    return F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]"))
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,13 +44,11 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
     unlabelled = (status == "P") & (prio == 4)
     cut_short = (status == "F") & (prio == 5) & (price < 60000)
-    tags = F.concat(
-        F.array(
-            F.concat(F.lit("etat-"), F.lower(status)),
-            F.concat(F.lit("prio-"), prio),
-            F.concat(F.lit("client-"), client % 97),
-        ),
-        _labels((price >= 300000, "grand compte")),
+    tags = _json(
+        F.concat(F.lit("etat-"), F.lower(status)),
+        F.concat(F.lit("prio-"), prio),
+        F.concat(F.lit("client-"), client % 97),
+        F.when(price >= 300000, "grand compte"),
     )
     canonical = F.date_format(moment, ISO_FORMAT)
     shifted = F.concat(F.date_format(moment + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
@@ -63,11 +67,11 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.when(prio != 4, prio).alias("score_mistral"),
         F.when(unlabelled, F.lit(None).cast("string"))
         .when(cut_short, '["IA/ML"')
-        .otherwise(F.to_json(first))
+        .otherwise(first)
         .alias("themes_mistral"),
-        F.when(price >= 20000, F.to_json(second)).alias("themes_ml"),
+        F.when(price >= 20000, second).alias("themes_ml"),
         F.when(price >= 20000, price / 500000).alias("score_confiance_ml"),
-        F.to_json(tags).alias("tags"),
+        tags.alias("tags"),
         F.when(client % 50 == 0, F.lit(None).cast("string"))
         .when(client % 50 == 1, shifted)
         .otherwise(canonical)
@@ -142,10 +146,8 @@ def annotated_documents(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(given, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         "source",
-        F.when(known, F.to_json(_labels((F.col("quality") == 1, "quality"), (F.col("toxic") == 1, "toxic")))).alias(
-            "themes_mistral"
-        ),
-        F.to_json(_labels((F.col("taille") >= 500, "quality"), (F.col("lang") != "en", "foreign"))).alias("themes_ml"),
+        F.when(known, _labels((F.col("quality") == 1, "quality"), (F.col("toxic") == 1, "toxic"))).alias("themes_mistral"),
+        _labels((F.col("taille") >= 500, "quality"), (F.col("lang") != "en", "foreign")).alias("themes_ml"),
     )
 
 
