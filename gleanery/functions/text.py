@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character a JavaScript ``trim`` strips; Spark's own trim strips spaces only.
-_WHITE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# Every character a JavaScript ``trim`` strips; Spark's own default strips spaces only.
+_WHITE = (
+    " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def strip_white(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_WHITE}+|{_WHITE}+$", "")
+    return F.trim(text, F.lit(_WHITE))
 
 
 def normalize_tags(tags: Column) -> Column:

@@ -92,9 +92,10 @@ class Store:
 
     def touched_days(self, batch: DataFrame) -> list[str] | None:
         """Publication days of a batch, None when there are more than a refresh takes."""
-        days = batch.select(day_of(F.col("date_article")).cast("string").alias("d")).where(F.col("d").isNotNull())
-        found = days.distinct().limit(MAX_REFRESH_DAYS + 1).collect()
-        return None if len(found) > MAX_REFRESH_DAYS else [r["d"] for r in found]
+        days = batch.select(day_of(F.col("date_article")).cast("string").alias("d")).distinct()
+        found = days.limit(MAX_REFRESH_DAYS + 2).collect()
+        known = [r["d"] for r in found if r["d"] is not None]
+        return None if len(known) > MAX_REFRESH_DAYS else known
 
     def update_labels(self, updates: DataFrame, key: str, cols: Sequence[str], order: str | None = None) -> None:
         """Applies a keyed update to the days it touches. Date columns need a full rewrite instead."""

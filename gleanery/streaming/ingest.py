@@ -39,15 +39,16 @@ def ingest_step(
         clock = now() if now else dt.datetime.now(dt.timezone.utc)
         # The rank inside one split comes last: files are ranked by age, then name and position.
         arrival = F.struct("lieu", F.monotonically_increasing_id().alias("n"))
-        events = batch.withColumn("arrivee", arrival).drop("lieu").persist()
+        events = batch.withColumn("arrivee", arrival).drop("lieu")
+        # Normalised once; the URL check, the write and the refresh all read it.
+        candidates = from_events(events.where(reject_reason().isNull()), clock, "arrivee").persist()
         try:
-            candidates = from_events(events.where(reject_reason().isNull()), clock, "arrivee")
             store.append_new(candidates, "arrivee")
             if rejects_path:
                 rejected(events).drop("arrivee").write.mode("append").json(rejects_path)
             _refresh(store, candidates, epoch)
         finally:
-            events.unpersist()
+            candidates.unpersist()
 
     return step
 
