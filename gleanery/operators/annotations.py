@@ -41,10 +41,11 @@ def validate_annotations(
     """
     parsed = parse_lines(lines)
     ids = parsed.where(F.col("id").isNotNull())
-    # One row per id on the right of both joins: a hot id folds map-side here and its lines are
-    # split by the skew join below.
+    # One row per id: a hot id folds map-side here, and its lines are split by the skew join below.
     first = ids.groupBy("id").agg(F.min("ligne").alias("premiere"))
-    known = first.join(articles.select("id"), "id", "left_semi")
+    # The stored ids are narrowed to the annotated ones before anything of them is shuffled.
+    stored = articles.select("id").join(first.select("id"), "id", "left_semi").distinct()
+    known = first.join(stored, "id")
     joined = parsed.join(known, "id", "left")
     foreign = F.filter("themes", lambda t: ~t.isin(list(labels)))
     reason = (

@@ -93,8 +93,8 @@ QUERIES = {
         ),
     ),
     "search_far_page": Query(
-        _page({"ml": "oui"}, "40", "100", deep_offset=200),
-        _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 3900"),
+        _page({"ml": "oui"}, "10", "100", deep_offset=200),
+        _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 900"),
     ),
     "search_total": Query(
         _total,

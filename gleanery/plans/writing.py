@@ -40,13 +40,10 @@ ENVELOPE_ROWS = 1000
 def _envelope(spark: SparkSession, folder: str) -> DataFrame:
     """Articles through export envelopes of at most ``ENVELOPE_ROWS`` rows each."""
     a = articles(spark, folder)
-    path = work_dir(spark, "envelope")
     lot = F.floor(F.col("id") / ENVELOPE_ROWS).alias("lot")
     body = F.to_json(F.array(F.struct(F.collect_list(F.struct(*a.columns)).alias("results"))), {"ignoreNullFields": "false"})
     # Order keys are unique, so a lot cannot outgrow its number of keys.
-    envelopes = a.groupBy(lot).agg(body.alias("value"))
-    envelopes.write.partitionBy("lot").text(path)
-    return files.read_envelope(spark, path)
+    return files.envelope_rows(a.groupBy(lot).agg(body.alias("value")))
 
 
 def _extract(spark: SparkSession, folder: str) -> DataFrame:

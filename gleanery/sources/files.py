@@ -32,15 +32,18 @@ def extract_columns(articles: DataFrame) -> DataFrame:
     return articles.select(*EXTRACT_COLUMNS)
 
 
-def read_envelope(spark: SparkSession, path: str, row: T.StructType = ARTICLE_SCHEMA) -> DataFrame:
-    """Rows of database exports shaped ``[{"results": [...], "success": .., "meta": {..}}]``.
+def envelope_rows(texts: DataFrame, row: T.StructType = ARTICLE_SCHEMA) -> DataFrame:
+    """Rows of database exports, one text in ``value`` per export.
 
-    Only the first element of each file counts. A file is one JSON value and so one task.
+    Shape: ``[{"results": [...], "success": .., "meta": {..}}, ...]``; only the first element counts.
     """
     schema = T.StructType([T.StructField("results", T.ArrayType(row))])
-    whole = spark.read.text(path, wholetext=True)
-    first = F.from_json("value", T.ArrayType(schema))[0]["results"]
-    return whole.select(F.inline(first))
+    return texts.select(F.inline(F.from_json("value", T.ArrayType(schema))[0]["results"]))
+
+
+def read_envelope(spark: SparkSession, path: str, row: T.StructType = ARTICLE_SCHEMA) -> DataFrame:
+    """Rows of export files. A file is one JSON value and so one task: large exports come as many."""
+    return envelope_rows(spark.read.text(path, wholetext=True), row)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
