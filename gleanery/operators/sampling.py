@@ -17,9 +17,11 @@ from ..model import LABELS, SAMPLE_TARGET
 def _by_label(articles: DataFrame, labels: Sequence[str], extra: str | None = None) -> DataFrame:
     """``id, source, theme`` per canonical label, plus one ``extra`` row for articles having any."""
     themes = F.array_intersect(as_array(articles, "themes_mistral"), label_array(labels))
+    each = articles.select("id", "source", themes.alias("themes"))
+    found = F.col("themes")
     if extra is not None:
-        themes = F.when(F.size(themes) > 0, F.array_append(themes, F.lit(extra)))
-    return articles.select("id", "source", F.explode(themes).alias("theme"))
+        found = F.when(F.size("themes") > 0, F.array_append("themes", F.lit(extra)))
+    return each.select("id", "source", F.explode(found).alias("theme"))
 
 
 def stratified_sample(
@@ -61,8 +63,9 @@ def _reachable(articles: DataFrame, labels: Sequence[str], target: int) -> DataF
     strata = _by_label(articles, labels, extra="")
     order = F.row_number().over(Window.partitionBy("theme", "source").orderBy("id"))
     firsts = strata.withColumn("r", order).where(F.col("r") <= target)
-    lowest = F.row_number().over(Window.partitionBy("theme").orderBy("id"))
-    sources = firsts.where(F.col("r") == 1).withColumn("s", lowest).where(F.col("s") <= target)
+    starts = strata.groupBy("theme", "source").agg(F.min("id").alias("first"))
+    lowest = F.row_number().over(Window.partitionBy("theme").orderBy("first"))
+    sources = starts.withColumn("s", lowest).where(F.col("s") <= target)
     # At most ``target`` sources per stratum. A missing source is one source, too.
     keep = F.broadcast(sources.select(F.col("theme").alias("t"), F.col("source").alias("o")))
     same = (F.col("theme") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))

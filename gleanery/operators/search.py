@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of
-from ..functions.jsonarrays import as_array, as_label_set
+from ..functions.jsonarrays import as_array, as_label_set, is_array
 from ..functions.sets import disjoint, has_label
 
 DEFAULT_LIMIT = 20
@@ -39,6 +39,17 @@ def page_bounds(page: object = None, limit: object = None) -> tuple[int, int]:
     return number, size
 
 
+def _carries(articles: DataFrame, column: str, label: str) -> Column:
+    """The label is an element of the column's array."""
+    exact = has_label(as_array(articles, column), label)
+    if is_array(articles, column):
+        return exact
+    # A JSON text holds its strings literally or with backslash escapes, so a plain search spares
+    # parsing the rows that cannot match.
+    text = F.col(column)
+    return (text.contains(label) | text.contains("\\")) & exact
+
+
 def conditions(
     articles: DataFrame,
     theme: str | None = None,
@@ -58,7 +69,7 @@ def conditions(
     """
     found: list[Column] = []
     if theme:
-        found.append(has_label(as_array(articles, "themes_mistral"), theme))
+        found.append(_carries(articles, "themes_mistral", theme))
     if source:
         found.append(F.col("source") == source)
     if categorie:
@@ -66,7 +77,7 @@ def conditions(
     if (score := leading_int(score_min)) is not None:
         found.append(F.col("score_mistral") >= score)
     if theme_ml:
-        found.append(has_label(as_array(articles, "themes_ml"), theme_ml))
+        found.append(_carries(articles, "themes_ml", theme_ml))
     if (confidence := leading_float(score_ml_min)) is not None:
         found.append(F.col("score_confiance_ml") >= confidence)
     if ml == "oui":

@@ -305,7 +305,14 @@ QUERIES = {
             _FILLED,
         ),
     ),
-    "aggregate_crosscheck_clean": Query(_crosscheck_clean, "SELECT CAST(0 AS BIGINT) AS ecarts"),
+    "aggregate_crosscheck_clean": Query(
+        _crosscheck_clean,
+        _sql(
+            """SELECT count(*) AS ecarts FROM (SELECT jour, count(*) AS n FROM articles WHERE jour IS NOT NULL GROUP BY 1) x
+            FULL JOIN (SELECT CAST(ts_article AS DATE) AS jour, count(ts_article) AS n FROM articles
+                       WHERE date_article IS NOT NULL GROUP BY 1) y ON x.jour = y.jour WHERE x.n IS DISTINCT FROM y.n"""
+        ),
+    ),
     "theme_counts_from_aggregate": Query(
         _themes_from_aggregate,
         _sql(

@@ -44,6 +44,15 @@ def test_filters(three, params, ids):
     assert sorted(r["id"] for r in search.search(three, **params).collect()) == ids
 
 
+def test_theme_filter_reads_escaped_text(make_articles):
+    rows = make_articles(
+        {"themes_mistral": '["S\\u00e9curit\\u00e9"]'}, {"themes_mistral": '["IA\\/ML"]'}, {"themes_mistral": '["IA/ML+"]'}, {"themes_mistral": "IA/ML"}
+    )
+    assert [r["id"] for r in search.search(rows, theme="Sécurité").collect()] == [1]
+    assert [r["id"] for r in search.search(rows, theme="IA/ML").collect()] == [2]
+    assert [r["id"] for r in search.search(decode_rows(rows), theme="IA/ML").collect()] == [2]
+
+
 def test_empty_sets_disagree_unless_strict(make_articles):
     both = make_articles({"themes_mistral": "[]", "themes_ml": "[]"}, {"themes_mistral": '["a"]', "themes_ml": "[]"})
     assert search.search(both, desaccord="1").count() == 2
