@@ -1,4 +1,4 @@
-"""Set measures between two label arrays already reduced to distinct elements."""
+"""Set measures between two label arrays already reduced to distinct, non-null elements."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def jaccard(a: Column, b: Column, empty_is_match: bool = True) -> Column:
 
 def disjoint(a: Column, b: Column) -> Column:
     """No common element; an empty array is disjoint from everything."""
-    return ~F.arrays_overlap(F.array_compact(a), F.array_compact(b))
+    return ~F.arrays_overlap(a, b)
 
 
 def has_label(items: Column, label: str) -> Column:
