@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def materialize(df: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes in ``column``; a longer single value is a run of its own."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
@@ -46,7 +47,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column with NULL as the empty text."""
-    return pa.compute.fill_null(batch.column(column), "")
+    return pc.fill_null(batch.column(column), "")
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,19 +7,117 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Query
 from ..sources.tables import table
-from . import bpe, idfiles
+from . import bpe, decontam, idfiles, langid, simhash, toxicity, warc
+from .common import is_bucket
+
+OP9_SQL = """
+WITH paged AS (
+    SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), marked AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS response
+    FROM paged
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN response IS NOT NULL AND response IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response IS NOT NULL AND response IS DISTINCT FROM page_id THEN response END AS refers_to
+FROM marked
+"""
+
+OP10_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[s : s + 9], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0)
+), places AS (
+    SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS phrase
+    FROM (
+        SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS s
+        FROM words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+    )
+), found AS (
+    SELECT doc_id, places.size AS size, s, item_id FROM places JOIN windows USING (phrase)
+), hits AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM found) GROUP BY doc_id
+), listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(spark, docs, labels, ~is_bucket(labels["doc_id"], 5, 0))
+    found = toxicity.score(spark, docs, model)
+    return found.select(
+        "doc_id",
+        is_bucket(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "sentence",
+        "sentence_score",
+    )
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(spark, docs, ~is_bucket(docs["doc_id"], 4, 2))
+    found = langid.predict(spark, docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        is_bucket(F.col("doc_id"), 4, 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"),
+    )
 
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, folder, "documents"))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_id_files(spark: SparkSession, folder: str) -> DataFrame:
     manifest = idfiles.write_corpus(spark, table(spark, folder, "documents"))
     return idfiles.read_digests(spark, manifest).withColumnRenamed("key", "doc_id")
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write(spark, table(spark, folder, "pages"))
+    found = warc.read(spark, archives, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontam.contamination(spark, docs, benchmark).drop("text_hash")
+
+
 QUERIES = {
+    "op1_toxicity": Query(op1_toxicity),
+    "op3_language_id": Query(op3_language_id),
     "op6_byte_bpe": Query(op6_byte_bpe),
+    "op7_simhash": Query(op7_simhash),
     "op8_id_files": Query(op8_id_files),
+    "op9_warc": Query(op9_warc, OP9_SQL),
+    "op10_decontamination": Query(op10_decontamination, OP10_SQL),
 }
