@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
-A sentence's logit is a bias plus the weights of its words and of their beginnings, which stand for a stem under
-any ending. Weights are never negative and mostly zero, so that only evidence counts: harmless words, however
+A sentence's logit is a bias plus the weights of its distinct words and of their beginnings, which stand for a
+stem under any ending. Weights are never negative and mostly zero, so that only evidence counts: harmless words, however
 many, neither hide nor make an offence. A document is toxic if any sentence is, so its score
 is one minus the product of the sentences' complements. Only document labels are needed to fit the weights, and
 the fitted sentence scores then say where the offence stands.
@@ -24,12 +24,12 @@ from . import flattext
 from .common import slices, texts_of, with_output
 
 #: Labelled documents taken to fit the model, the smallest by a hash of their id; it bounds the fit.
-FIT_DOCS = 6000
+FIT_DOCS = 5000
 #: Longest text (in characters) that is taken to fit the model; scoring reads every text whole.
-FIT_CHARS = 50_000
+FIT_CHARS = 20_000
 #: Fitting documents that must hold a word for it to get a weight.
-MIN_DOCS = 5
-ROUNDS = 150
+MIN_DOCS = 4
+ROUNDS = 200
 RATE = 0.15
 #: Pull of every weight towards zero, per document.
 SPARSITY = 1e-4
@@ -66,7 +66,9 @@ class ToxicityModel:
         at = np.searchsorted(self.words, spelled)
         known = at < len(self.words)
         known[known] = self.words[at[known]] == spelled[known]
-        z = np.bincount(of[starts[known]], self.weights[at[known]], minlength=int(of[-1]) + 1)
+        n = len(self.words)
+        once = np.unique(of[starts[known]] * n + at[known]) if n else np.zeros(0, dtype=np.int64)
+        z = np.bincount(once // max(n, 1), self.weights[once % max(n, 1)], minlength=int(of[-1]) + 1)
         return of, z + self.bias
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,19 +112,25 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     rows = list(dict.fromkeys(zip(texts, toxic, strict=True)))
     if not rows:
         return ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), -6.0)
-    points, starts = flattext.flatten([t for t, _ in rows])
-    of = flattext.sentences(points)
-    at, spelled = features(points)
-    owner = np.searchsorted(starts, at, side="right") - 1
-    vocabulary, token = np.unique(spelled, return_inverse=True)
-    pairs = np.unique(token.astype(np.int64) * len(rows) + owner) // len(rows)
-    frequent = np.bincount(pairs, minlength=len(vocabulary)) >= MIN_DOCS
-    place = np.cumsum(frequent) - 1
+    hashes, owners, firsts, total = [], [], [], 0
+    for k in range(0, len(rows), 256):  # by parts, so that only features are held
+        points, starts = flattext.flatten([t for t, _ in rows[k : k + 256]])
+        of = flattext.sentences(points)
+        at, spelled = features(points)
+        order = np.lexsort((spelled, of[at]))
+        where, what = of[at][order], spelled[order]
+        new = np.concatenate(([True], (where[1:] != where[:-1]) | (what[1:] != what[:-1])))[: len(where)]
+        owners.append((where[new] + total).astype(np.int32))
+        hashes.append(what[new])
+        firsts.append(of[starts[:-1]] + total)
+        total += int(of[-1])
+    sentence, first, n = np.concatenate(owners), np.concatenate(firsts), total
+    vocabulary, token = np.unique(np.concatenate(hashes), return_inverse=True)
+    doc_of = np.maximum(np.searchsorted(first, np.arange(n + 1), side="right") - 1, 0)
+    met = np.unique(token * len(rows) + doc_of[sentence]) // len(rows)
+    frequent = np.bincount(met, minlength=len(vocabulary)) >= MIN_DOCS
     use = frequent[token]
-    token, sentence = place[token[use]], of[at[use]]
-    first = of[starts[:-1]]
-    n = int(of[-1])
-    doc_of = np.searchsorted(first, np.arange(n + 1), side="right") - 1
+    token, sentence = (np.cumsum(frequent) - 1)[token[use]], sentence[use]
     y = np.array([t for _, t in rows], dtype=np.float64)
     w, bias = np.zeros(int(frequent.sum())), -6.0
     moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -130,9 +138,9 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
         z = np.bincount(sentence, w[token], minlength=n + 1) + bias
         none = np.logaddexp(0, z)
         none[0] = none[n] = 0  # before the first text and after the last
-        total = np.bincount(np.maximum(doc_of, 0), none, minlength=len(rows))
+        total = np.bincount(doc_of, none, minlength=len(rows))
         pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
-        g = pull[np.maximum(doc_of, 0)] * _sigmoid(z)
+        g = pull[doc_of] * _sigmoid(z)
         g[0] = g[n] = 0
         grad = np.append(np.bincount(token, g[sentence], minlength=len(w)) / len(rows) + SPARSITY, g.sum() / len(rows))
         moment = 0.9 * moment + 0.1 * grad
