@@ -295,24 +295,28 @@ def decode(spark: SparkSession, encoded: DataFrame, key: str = "doc_id", path: s
 
 
 def round_trip(
-    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None
+    spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Encodes every text, decodes the ids in the same pass and returns count and digests of both."""
+    """Encodes every text, decodes the ids in the same pass; count and digests of both, and the ids if asked."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     shipped = _Shipped(spark, read_ranks(path), public_tokenizers.PATTERN)
     rows = docs.select(docs[key], docs[text])
-    fields = [(key, None), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    fields = [(key, None), ("n_tokens", pa.int64()), *([("ids", None)] if with_ids else [])]
+    fields += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
     def emit(bpe, part, ids, ends):
         bounds = [0, *ends.tolist()]
         spans = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        listed = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
         return [
             part.column(0),
             [len(s) for s in spans],
+            *listed,
             [hashlib.sha256(s.astype("<u4", copy=False).tobytes()).hexdigest() for s in spans],
             [hashlib.sha256(bpe.decode(s)).hexdigest() for s in spans],
         ]
 
     kind = rows.schema[0].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"`{key}` {kind}, n_tokens bigint, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(_each(text, shipped, fields, emit), schema)

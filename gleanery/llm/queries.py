@@ -7,9 +7,36 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Query
 from ..sources.tables import table
-from . import bpe, decontam, idfiles, langid, simhash, toxicity, warc
+from . import bpe, decontam, hashforest, idfiles, langid, linededup, secrets, simhash, toxicity, warc
 from .common import is_bucket
 
+OP5_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, source, n, line, trim(line, chr(32) || chr(9) || chr(13)) AS bare
+    FROM (
+        SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS n,
+               unnest(string_split(text, chr(10))) AS line
+        FROM documents
+    )
+), totals AS (
+    SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY source
+), bad AS (
+    SELECT source, bare FROM (SELECT DISTINCT doc_id, source, bare FROM lines WHERE bare <> '') JOIN totals USING (source)
+    GROUP BY source, bare HAVING count(*) >= 5 AND count(*) > 0.1 * any_value(total)
+), marked AS (
+    SELECT lines.*, bad.bare IS NOT NULL AS gone
+    FROM lines LEFT JOIN bad ON lines.source = bad.source AND lines.bare = bad.bare
+), pages AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
+           count(*) FILTER (WHERE NOT gone AND bare <> '') AS n_left,
+           string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone) AS kept
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN n_gone > 0 AND n_left > 0 THEN kept ELSE text END AS text,
+       coalesce(n_lines, 0) AS n_lines, CASE WHEN n_gone > 0 AND n_left > 0 THEN n_gone ELSE 0 END AS n_dropped
+FROM documents LEFT JOIN pages USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH paged AS (
     SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -74,6 +101,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(spark, table(spark, folder, "documents"))
+    return found.select("doc_id", "start", "end", "value", "score", "secret")
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(spark, docs, ~is_bucket(docs["doc_id"], 4, 2))
@@ -87,6 +119,16 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    forest = hashforest.HashForest(spark, table(spark, folder, "embeddings"), k=20)
+    return forest.search(lambda vec_id: vec_id % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return linededup.remove_boilerplate(spark, docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, folder, "documents"))
 
@@ -114,7 +156,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": Query(op1_toxicity),
+    "op2_secret_scan": Query(op2_secret_scan),
     "op3_language_id": Query(op3_language_id),
+    "op4_hash_forest": Query(op4_hash_forest),
+    "op5_line_dedup": Query(op5_line_dedup, OP5_SQL),
     "op6_byte_bpe": Query(op6_byte_bpe),
     "op7_simhash": Query(op7_simhash),
     "op8_id_files": Query(op8_id_files),

@@ -56,6 +56,9 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fold(hashes: np.ndarray) -> int:
     """The fingerprint: a bit is set if it is set in over half of the hashes."""
+    if len(hashes) < 64:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
     counts = np.zeros((8, 8), dtype=np.int64)
     for k in range(0, len(hashes), _HASHES):
         octets = hashes[k : k + _HASHES].view(np.uint8).reshape(-1, 8)
