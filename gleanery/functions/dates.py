@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +12,12 @@ from .text import strip_white
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 # Spark's lenient cast reads "T10" or "12:30" as today; only these shapes are let through.
-_ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
+_ISO_SHAPE = r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
+_TO_THE_MINUTE = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(\s?(?:Z|[+-]\d{2}:?\d{2}))$"
 _MAIL_SHAPE = r"^([A-Za-z]{3,9},?\s+)?\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
+# Month first, as in "Jan 5, 2026"; and days written with slashes, year first or month first.
+_MONTH_FIRST = r"^([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})"
+_SLASHES = {r"^\d{4}/\d{1,2}/\d{1,2}( |$)": "yyyy/M/d[ H:mm[:ss]]", r"^\d{1,2}/\d{1,2}/\d{4}( |$)": "M/d/yyyy[ H:mm[:ss]]"}
 
 # The zone names of RFC 822 and their offsets.
 _ZONES = {
@@ -35,7 +38,9 @@ _ZONES = {
 
 def parse_iso(text: Column) -> Column:
     """TIMESTAMP of an ISO 8601 text, NULL for any other shape or an impossible date."""
-    return F.when(text.rlike(_ISO_SHAPE), text.try_cast("timestamp"))
+    # The cast wants seconds before a zone.
+    full = F.when(text.rlike(_TO_THE_MINUTE), F.regexp_replace(text, _TO_THE_MINUTE, "$1:00$2")).otherwise(text)
+    return F.when(text.rlike(_ISO_SHAPE), full.try_cast("timestamp"))
 
 
 def _parse_mail(text: Column) -> Column:
@@ -45,14 +50,21 @@ def _parse_mail(text: Column) -> Column:
     )
     zones = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
     offset = F.try_element_at(zones, F.upper(F.regexp_extract(body, r" ([A-Za-z]{1,3})$", 1)))
+    body = F.regexp_replace(body, r"([+-]\d{2}):(\d{2})$", "$1$2")
     numeric = F.concat(F.regexp_replace(body, r"\s*[A-Za-z]{1,3}$", " "), offset)
     return F.try_to_timestamp(F.rtrim(F.coalesce(numeric, body)), F.lit("d MMM yyyy[ H:mm[:ss]][ xx]"))
 
 
 def parse_date(text: Column) -> Column:
-    """TIMESTAMP of an ISO 8601 or mail-style date text, NULL when unreadable."""
+    """TIMESTAMP of an ISO 8601, mail-style, month-first or slashed date text, NULL when unreadable.
+
+    Texts without a zone mean UTC. Other forms that date parsers guess at (names of days alone,
+    two-digit years, relative words) stay unreadable.
+    """
     clean = strip_white(text)
-    return F.coalesce(parse_iso(clean), F.when(clean.rlike(_MAIL_SHAPE), _parse_mail(clean)))
+    turned = F.regexp_replace(clean, _MONTH_FIRST, "$2 $1 $3")
+    slashed = [F.when(clean.rlike(shape), F.try_to_timestamp(clean, F.lit(form))) for shape, form in _SLASHES.items()]
+    return F.coalesce(parse_iso(clean), F.when(turned.rlike(_MAIL_SHAPE), _parse_mail(turned)), *slashed)
 
 
 def iso_text(ts: Column) -> Column:
@@ -85,15 +97,21 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86_400_000_000)
 
 
-def day_bounds(day: str) -> tuple[str, str]:
-    """``[day, next day)`` of a strict ``YYYY-MM-DD`` text; raises when it names no calendar day."""
-    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
-        raise ValueError(f"invalid day (expected YYYY-MM-DD): {day}")
+def calendar_day(day: str) -> dt.date:
+    """The date a ``YYYY-MM-DD`` text names; only the text that this date is written as is accepted."""
     try:
-        start = dt.date.fromisoformat(day)
-    except ValueError as err:
-        raise ValueError(f"invalid day (no such calendar date): {day}") from err
-    return day, (start + dt.timedelta(days=1)).isoformat()
+        found = dt.date.fromisoformat(day)
+    except ValueError:
+        found = None
+    if found is None or found.isoformat() != day:
+        raise ValueError(f"not a day written as YYYY-MM-DD: {day!r}")
+    return found
+
+
+def day_bounds(day: str) -> tuple[str, str]:
+    """``[day, next day)`` as texts."""
+    start = calendar_day(day)
+    return start.isoformat(), (start + dt.timedelta(days=1)).isoformat()
 
 
 def in_day(text: Column, day: str) -> Column:

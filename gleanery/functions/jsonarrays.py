@@ -17,16 +17,18 @@ _STRINGS_ONLY = rf"(?s)^\s*\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*+)?\]\s*$"
 
 
 def _parse(text: Column, element: str) -> Column:
-    # The JSON reader stops after the first complete value. Nesting the text inside an object
-    # turns trailing junk into a syntax error instead of letting it pass.
-    wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    # The JSON reader stops after the first complete value. What follows one breaks the text either
+    # as a field of an object or as the only element of an array: no separator suits both.
+    field = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    only = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", _STRICT)
     closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("]")
-    return F.when(closed, F.from_json(wrapped, f"v array<{element}>", _STRICT)["v"])
+    return F.when(closed & (F.size(only) == 1), F.from_json(field, f"v array<{element}>", _STRICT)["v"])
 
 
 def parse_json_array(text: Column, default: Column | None = None) -> Column:
     """Array of strings, or ``default`` (NULL) when absent or unreadable; other scalars become text."""
-    parsed = _parse(text, "string")
+    plain = F.from_json(text, "array<string>", _STRICT)
+    parsed = F.when(text.rlike(_STRINGS_ONLY), plain).otherwise(_parse(text, "string"))
     return parsed if default is None else F.coalesce(parsed, default)
 
 

@@ -30,6 +30,12 @@ def zero_to_null(number: Column) -> Column:
     return F.when(number != 0, number)
 
 
+def whole_number(value: Column) -> Column:
+    """INT of a number or a numeric text; NULL for anything else, fractions included."""
+    number = value.cast("string").try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def model_input(title: Column, summary: Column) -> Column:
     """Text handed to the second classifier."""
     return strip_white(F.concat(title, F.lit(". "), F.coalesce(summary, F.lit(""))))

@@ -28,6 +28,7 @@ SAMPLE_TARGET = 100
 ERA_BOUNDARY = "2026-04-01"
 UNKNOWN_SOURCE = "inconnu"
 
+# The columns of the stored table and of the files it is fed from.
 ARTICLE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -66,7 +67,7 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("resume", T.StringType()),
         T.StructField("categorie", T.StringType()),
-        T.StructField("score", T.IntegerType()),
+        T.StructField("score", T.StringType()),  # as written: 3, 3.0 and "3" are one score
         T.StructField("date", T.StringType()),
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("themes", T.ArrayType(T.StringType())),

@@ -41,10 +41,10 @@ def labels_from_scores(
     ).drop("_usable")
 
 
-def label_updates(labelled: DataFrame, key: str = "url") -> DataFrame:
+def label_updates(labelled: DataFrame, key: str = "url", *keep: str) -> DataFrame:
     """``key, themes_ml, score_confiance_ml`` for :func:`updates.keyed_update`; failures stay queued."""
     return labelled.where(F.col("erreur").isNull()).select(
-        key, F.to_json("themes").alias("themes_ml"), F.col("confiance").alias("score_confiance_ml")
+        key, *keep, F.to_json("themes").alias("themes_ml"), F.col("confiance").alias("score_confiance_ml")
     )
 
 

@@ -11,8 +11,11 @@ from .normalize import from_events, from_legacy, reject_reason
 
 
 def rejected(events: DataFrame) -> DataFrame:
-    """Events that cannot be stored, with ``motif``."""
-    return events.withColumn("motif", reject_reason()).where(F.col("motif").isNotNull())
+    """Events that cannot be stored, with ``motif``; unreadable lines keep their text in ``_corrupt_record``."""
+    reason = reject_reason()
+    if "_corrupt_record" in events.columns:
+        reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("unreadable JSON")).otherwise(reason)
+    return events.withColumn("motif", reason).where(F.col("motif").isNotNull())
 
 
 def first_per_url(rows: DataFrame, order: str) -> DataFrame:
@@ -37,9 +40,25 @@ def absent_from(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(known, "url", "left_anti")
 
 
+def numbered_after(highest: int, rows: DataFrame, place: str) -> DataFrame:
+    """Stored ``rows`` with ``id`` numbers above ``highest``, without gaps.
+
+    ``place`` holds the monotonically increasing ids they were stored with: task by task, counting
+    from a new start in each. What is put in order in one place are the tasks' counts.
+    """
+    part = F.shiftright(place, 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.withColumn("_part", part).join(before, "_part")
+    columns = [c for c in rows.columns if c != place]
+    return joined.select((F.lit(highest) + 1 + F.col("_before") + within).alias("id"), *columns)
+
+
 def new_articles(existing: DataFrame, candidates: DataFrame, order: str) -> DataFrame:
     """Candidate rows to append, first of each URL, with ids following the highest stored one."""
-    fresh = first_per_url(absent_from(candidates, existing), order).drop(order)
+    fresh = absent_from(first_per_url(candidates, order), existing).drop(order)
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
     return fresh.select((highest + 1 + F.monotonically_increasing_id()).alias("id"), *fresh.columns)
 

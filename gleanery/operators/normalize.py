@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_text, moment, normalize_date
 from ..functions.jsonarrays import empty_array, parse_json_array
-from ..functions.text import blank_to_null, normalize_tags, zero_to_null
+from ..functions.text import blank_to_null, normalize_tags, whole_number, zero_to_null
 from ..model import UNKNOWN_SOURCE
 
 
@@ -47,7 +47,7 @@ def from_events(events: DataFrame, now: str | dt.datetime, *keep: str) -> DataFr
         blank_to_null(F.col("resume")).alias("resume"),
         F.coalesce(blank_to_null(F.col("source")), F.lit(UNKNOWN_SOURCE)).alias("source"),
         blank_to_null(F.col("categorie")).alias("categorie_mistral"),
-        zero_to_null(F.col("score")).cast("int").alias("score_mistral"),
+        zero_to_null(whole_number(F.col("score"))).alias("score_mistral"),
         F.to_json("themes").alias("themes_mistral"),
         F.lit(None).cast("string").alias("themes_ml"),
         F.lit(None).cast("double").alias("score_confiance_ml"),

@@ -17,7 +17,11 @@ def _with_day(articles: DataFrame) -> DataFrame:
 
 def calendar(articles: DataFrame) -> DataFrame:
     """``date_complete, annee, mois, semaine, jour_semaine`` of every publication day."""
-    days = _with_day(articles).select("date").distinct()
+    return calendar_of(_with_day(articles).select("date").distinct())
+
+
+def calendar_of(days: DataFrame) -> DataFrame:
+    """The calendar rows of distinct ``date`` values."""
     return days.select(
         F.col("date").alias("date_complete"),
         F.year("date").alias("annee"),
@@ -33,7 +37,8 @@ def daily_aggregate(articles: DataFrame) -> DataFrame:
     The total must not come from summed theme rows: they count a multi-theme article several times
     and miss one without themes. Every article gives at least one row and exactly one head row (its
     first theme, or the empty row of an article without themes); the total is taken on heads. So
-    one scan and one shuffle serve both kinds of rows, the split happens on the grouped result.
+    one scan serves both kinds of rows; the split happens on the grouped result, which is small
+    when it is shuffled once more for the totals.
     """
     rows = _with_day(articles).select(
         "date", "score_mistral", F.posexplode_outer(as_array(articles, "themes_mistral")).alias("pos", "thematique")

@@ -19,9 +19,11 @@ def keyed_update(
 ) -> DataFrame:
     """``articles`` with ``cols`` replaced where ``updates`` has their key, other rows unchanged.
 
-    ``updates`` must have one row per key, or name in ``order`` the column that ranks them.
+    Of several updates for a key the last by ``order`` holds. Without ``order`` keys should not
+    repeat; if they do, the greatest values hold, so that no row is ever doubled.
     """
-    given = last_per_key(updates, key, cols, order) if order else updates.select(key, *cols)
+    ranked = updates.withColumn("_order", F.col(order) if order else F.struct(*cols))
+    given = last_per_key(ranked, key, cols, "_order")
     renamed = given.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in cols])
     joined = articles.join(renamed, key, "left")
     return joined.select(

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import zip_scores
 from ..model import LABEL_HYPOTHESES
 from ..operators.ingest import ingest_batch, legacy_batch
 from ..operators.normalize import from_events, reject_reason
@@ -109,11 +108,7 @@ def _filled_store(spark: SparkSession, folder: str) -> Store:
     store.rebuild()
     second = from_events(valid.where(late), CLOCK, "rang")
     store.append_new(second, "rang")
-    days = store.touched_days(second)
-    if days is None:
-        store.rebuild()
-    else:
-        store.refresh_days(days)
+    store.refresh_days(store.touched_days(second))
     return store
 
 

@@ -2,117 +2,183 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import day_bounds, day_of
+from ..functions.dates import calendar_day, day_of
 from ..model import ARTICLE_SCHEMA
-from ..operators.ingest import new_articles
-from ..operators.star import calendar, daily_aggregate
-from ..operators.updates import keyed_update
+from ..operators.ingest import absent_from, first_per_url, numbered_after
+from ..operators.star import calendar, calendar_of, daily_aggregate
+from ..operators.updates import keyed_update, last_per_key
 
 FACT_SCHEMA = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField("jour", T.DateType())])
 AGGREGATE_SCHEMA = "est_total boolean, thematique string, nb_articles bigint, score_moyen double, date date"
-
-# More touched days than this and the aggregate is rebuilt instead.
-MAX_REFRESH_DAYS = 3_660
+CALENDAR_SCHEMA = "date_complete date, annee int, mois int, semaine int, jour_semaine int"
+LABEL_COLUMNS = ["themes_ml", "score_confiance_ml"]
+LABEL_SCHEMA = "url string, themes_ml string, score_confiance_ml double, lot long"
+URL_SCHEMA = "url string, tranche int"
+#: Slices of the URL index; a batch reads those its URLs fall into.
+URL_SLICES = 256
 
 
 class Store:
-    """Folder with ``articles`` (by publication day), ``agg_quotidien`` (by day) and ``dim_date``."""
+    """Folder with ``articles`` (by publication day), ``libelles`` (second labels, append-only),
+    ``agg_quotidien`` (by day), ``dim_date``, and an index of stored URLs.
+
+    One writer at a time. The articles are the truth: the first append of a ``Store`` object brings
+    the URL index up to them and reads the highest id, so a crash between the two writes costs a
+    later object one pass, and every further append costs what its batch holds.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.articles_path = f"{root}/articles"
+        self.labels_path = f"{root}/libelles"
         self.aggregate_path = f"{root}/agg_quotidien"
         self.calendar_path = f"{root}/dim_date"
+        self.urls_path = f"{root}/urls"
+        self._highest: int | None = None
 
     def create(self) -> Store:
         """Empty tables, where there are none yet."""
-        tables = [(self.articles_path, FACT_SCHEMA, "jour"), (self.aggregate_path, AGGREGATE_SCHEMA, "date")]
+        tables = [
+            (self.articles_path, FACT_SCHEMA, ["jour"]),
+            (self.labels_path, LABEL_SCHEMA, []),
+            (self.aggregate_path, AGGREGATE_SCHEMA, ["date"]),
+            (self.calendar_path, CALENDAR_SCHEMA, []),
+            (self.urls_path, URL_SCHEMA, ["tranche"]),
+        ]
         for path, schema, by in tables:
-            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(by).parquet(path)
+            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(path)
         return self
 
-    def articles(self) -> DataFrame:
+    def facts(self) -> DataFrame:
+        """Articles as they were ingested."""
         return self.spark.read.schema(FACT_SCHEMA).parquet(self.articles_path)
 
+    def articles(self) -> DataFrame:
+        """Articles with the last second labels received for each."""
+        given = self.spark.read.schema(LABEL_SCHEMA).parquet(self.labels_path)
+        return keyed_update(self.facts(), given, "url", LABEL_COLUMNS, "lot").select(*FACT_SCHEMA.names)
+
     def aggregate(self) -> DataFrame:
         """The daily aggregate. Days emptied by a refresh keep a zero total row, left out here."""
         stored = self.spark.read.schema(AGGREGATE_SCHEMA).parquet(self.aggregate_path)
         return stored.where(F.col("nb_articles") > 0)
 
+    def calendar(self) -> DataFrame:
+        """The calendar dimension: every day that has or had articles."""
+        return self.spark.read.schema(CALENDAR_SCHEMA).parquet(self.calendar_path)
+
     def append(self, rows: DataFrame) -> None:
         """Adds article rows. Rebalancing packs small days together and splits a hot one."""
         placed = rows.withColumn("jour", day_of(F.col("date_article"))).select(*FACT_SCHEMA.names)
         placed.hint("rebalance", "jour").write.mode("append").partitionBy("jour").parquet(self.articles_path)
+        self._highest = None
 
     def append_new(self, candidates: DataFrame, order: str) -> None:
         """Insert-or-ignore on the URL."""
-        self.append(new_articles(self.articles(), candidates, order))
+        self._open()
+        slices = [r[0] for r in candidates.select(_slice()).distinct().collect()]  # at most URL_SLICES
+        known = self._urls().where(F.col("tranche").isin(slices))
+        fresh = first_per_url(absent_from(candidates, known), order).drop(order)
+        # Stored before they are numbered, so that numbers cannot differ between two evaluations.
+        staged = f"{self.urls_path}-en-cours"
+        placed = fresh.withColumn("place", F.monotonically_increasing_id())
+        placed.write.mode("overwrite").parquet(staged)
+        rows = numbered_after(self._highest, self.spark.read.schema(placed.schema).parquet(staged), "place")
+        highest = self._highest + rows.count()
+        self.append(rows)
+        self._index(rows)
+        self._highest = highest
+
+    def _open(self) -> None:
+        """Once per object: the index covers all articles, and the highest id is known."""
+        if self._highest is None:
+            facts = self.facts()
+            self._index(facts.join(self._urls(), "url", "left_anti"))
+            self._highest = facts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+    def _urls(self) -> DataFrame:
+        return self.spark.read.schema(URL_SCHEMA).parquet(self.urls_path)
+
+    def _index(self, rows: DataFrame) -> None:
+        placed = rows.select("url", _slice().alias("tranche"))
+        placed.hint("rebalance", "tranche").write.mode("append").partitionBy("tranche").parquet(self.urls_path)
 
     def rebuild(self) -> None:
         """Replaces calendar and aggregate by those of all stored facts."""
-        facts = self.articles()
+        facts = self.facts()
         self._write_aggregate(daily_aggregate(facts), "static")
         calendar(facts).write.mode("overwrite").parquet(self.calendar_path)
 
-    def refresh_days(self, days: Sequence[str]) -> None:
-        """Recomputes the given days of the aggregate, each replaced as a whole; others untouched.
+    def refresh_days(self, days: DataFrame | Sequence[str]) -> None:
+        """Recomputes the given days of the aggregate, each replaced as a whole, and enters days that
+        have articles into the calendar; other days stay untouched.
 
         Recomputing is repeatable and accepts any lateness. A day that lost all its articles gets
-        a zero total row, so it is replaced with the same commit as the rest.
+        a zero total row, so it is replaced with the same commit as the rest. ``days`` has one date
+        column (NULL left out) or lists strict day texts; one path serves any number of them.
         """
-        wanted = sorted({day_bounds(d)[0] for d in days})
-        if not wanted:
-            return
-        if len(wanted) > MAX_REFRESH_DAYS:
-            self.rebuild()
+        if not isinstance(days, DataFrame):
+            days = self.spark.createDataFrame([(calendar_day(d),) for d in days], "jour date")
+        wanted = days.select(F.col(days.columns[0]).alias("jour")).where("jour IS NOT NULL").distinct()
+        dates = [r[0] for r in wanted.collect()]  # the calendar bounds them
+        if not dates:
             return
-        literals = [F.lit(d).cast("date") for d in wanted]
-        # Literal partition values: untouched days are never listed, let alone read.
-        facts = self.articles().where(F.col("jour").isin(*literals))
-        empty = self.spark.createDataFrame([(d,) for d in wanted], "d string").select(
-            F.to_date("d").alias("date"),
+        facts = self._facts_of(dates)
+        empty = self.spark.createDataFrame([(d,) for d in dates], "date date").select(
+            "date",
             F.lit(True).alias("est_total"),
             F.lit(None).cast("string").alias("thematique"),
             F.lit(0).cast("long").alias("nb_articles"),
             F.lit(None).cast("double").alias("score_moyen"),
         )
-        fresh = daily_aggregate(facts)
         merged = (
-            fresh.unionByName(empty)
+            daily_aggregate(facts)
+            .unionByName(empty)
             .groupBy("date", "est_total", "thematique")
             .agg(F.sum("nb_articles").alias("nb_articles"), F.max("score_moyen").alias("score_moyen"))
         )
         self._write_aggregate(merged, "dynamic")
+        held = facts.select(F.col("jour").alias("date")).distinct()
+        missing = held.join(self.calendar().select(F.col("date_complete").alias("date")), "date", "left_anti")
+        calendar_of(missing).coalesce(1).write.mode("append").parquet(self.calendar_path)  # a row per new day
+
+    def _facts_of(self, dates: list) -> DataFrame:
+        """Facts of some days, opened by their folders: the other days are not even listed."""
+        folders = [f"{self.articles_path}/jour={d.isoformat()}" for d in dates]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        system = path(self.articles_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = [f for f in folders if system.exists(path(f))]
+        if not there:
+            return self.spark.createDataFrame([], FACT_SCHEMA)
+        return self.spark.read.schema(FACT_SCHEMA).option("basePath", self.articles_path).parquet(*there)
 
-    def touched_days(self, batch: DataFrame) -> list[str] | None:
-        """Publication days of a batch, None when there are more than a refresh takes."""
-        days = batch.select(day_of(F.col("date_article")).cast("string").alias("d")).distinct()
-        found = days.limit(MAX_REFRESH_DAYS + 2).collect()
-        known = [r["d"] for r in found if r["d"] is not None]
-        return None if len(known) > MAX_REFRESH_DAYS else known
-
-    def update_labels(self, updates: DataFrame, key: str, cols: Sequence[str], order: str | None = None) -> None:
-        """Applies a keyed update to the days it touches. Date columns need a full rewrite instead."""
-        if {"date_article", "jour", key} & set(cols):
-            raise ValueError("dates and keys decide where a row is stored; use keyed_update and write a new table")
-        facts = self.articles()
-        hit = facts.join(updates.select(key), key, "left_semi").select("jour").distinct()
-        days = [r["jour"] for r in hit.limit(MAX_REFRESH_DAYS + 1).collect()]
-        if len(days) <= MAX_REFRESH_DAYS:
-            dated = F.col("jour").isin(*[F.lit(d) for d in days if d]) if any(days) else F.lit(False)
-            facts = facts.where(dated | F.col("jour").isNull() if None in days else dated)
-        changed = keyed_update(facts, updates, key, cols, order).select(*FACT_SCHEMA.names)
-        self._write(changed.hint("rebalance", "jour"), self.articles_path, "jour", "dynamic")
+    @staticmethod
+    def touched_days(batch: DataFrame) -> DataFrame:
+        """``jour``: the distinct publication days of a batch."""
+        return batch.select(day_of(F.col("date_article")).alias("jour")).where("jour IS NOT NULL").distinct()
+
+    def update_labels(self, updates: DataFrame, order: str | None = None) -> None:
+        """Adds second labels by URL to their own table; of several for a URL the last by ``order`` holds.
+
+        Nothing stored is rewritten, so labels and new articles may arrive at once. Labels of a
+        later call supersede earlier ones.
+        """
+        ranked = updates.withColumn("ordre", F.col(order) if order else F.struct(*LABEL_COLUMNS))
+        last = last_per_key(ranked, "url", LABEL_COLUMNS, "ordre")
+        rows = last.select("url", *LABEL_COLUMNS, F.lit(time.time_ns()).alias("lot"))
+        rows.write.mode("append").parquet(self.labels_path)
 
     def _write_aggregate(self, rows: DataFrame, mode: str) -> None:
-        self._write(rows.hint("rebalance", "date"), self.aggregate_path, "date", mode)
+        placed = rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", mode)
+        placed.partitionBy("date").parquet(self.aggregate_path)
 
-    @staticmethod
-    def _write(rows: DataFrame, path: str, by: str, mode: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(by).parquet(path)
+
+def _slice():
+    return F.pmod(F.xxhash64("url"), F.lit(URL_SLICES)).cast("int")

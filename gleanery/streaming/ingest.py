@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import score_pairs
@@ -22,11 +23,14 @@ log = logging.getLogger(__name__)
 _PLACE = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+#: Files of a micro-batch; it bounds what one batch holds, a backlog included.
+FILES_PER_TRIGGER = 1000
+
+
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Events from a folder of JSON-lines files, with what is needed to rank their arrival."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path).select("*", F.struct(*_PLACE).alias("lieu"))
 
 
@@ -45,7 +49,8 @@ def ingest_step(
         try:
             store.append_new(candidates, "arrivee")
             if rejects_path:
-                rejected(events).drop("arrivee").write.mode("append").json(rejects_path)
+                # A folder per batch: a replay replaces what it wrote.
+                rejected(events).drop("arrivee").write.mode("overwrite").json(f"{rejects_path}/lot={epoch}")
             _refresh(store, candidates, epoch)
         finally:
             candidates.unpersist()
@@ -57,11 +62,7 @@ def _refresh(store: Store, batch: DataFrame, epoch: int) -> None:
     # Days of all rows sent, not just the new ones: a replay after a crash between append and
     # refresh has nothing new to append but must still repair those days.
     try:
-        days = store.touched_days(batch)
-        if days is None:
-            store.rebuild()
-        else:
-            store.refresh_days(days)
+        store.refresh_days(store.touched_days(batch))
     except Exception:
         # The facts are stored; Store.rebuild repairs the aggregate later.
         log.exception("aggregate refresh failed for batch %s", epoch)
@@ -82,11 +83,12 @@ def start_ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def store_responses(store: Store, responses: DataFrame) -> DataFrame:
+def store_responses(store: Store, responses: DataFrame, order: str | None = None) -> DataFrame:
     """Labels stored articles from classifier responses ``url, reponse``; returns the labelled rows.
 
-    One response per URL. Failed ones change nothing, so their articles stay queued.
+    Of several responses for a URL the last usable one by ``order`` holds; name it wherever URLs
+    can repeat. Failed ones change nothing, so their articles stay queued.
     """
     labelled = labels_from_scores(responses, score_pairs(F.col("reponse")))
-    store.update_labels(label_updates(labelled), "url", ["themes_ml", "score_confiance_ml"])
+    store.update_labels(label_updates(labelled, "url", *([order] if order else [])), order)
     return labelled

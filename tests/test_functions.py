@@ -87,7 +87,7 @@ def test_day_bounds(day, following):
      "2026/06/29", "2026-06-29T10:00:00Z", " 2026-06-29", "2026-06-29\n", "２026-06-29"],
 )
 def test_day_bounds_refuses(day):
-    with pytest.raises(ValueError, match="invalid day"):
+    with pytest.raises(ValueError, match="not a day"):
         dates.day_bounds(day)
 
 
