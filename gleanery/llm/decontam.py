@@ -72,16 +72,25 @@ class PhraseIndex:
         self.index = materialize(posted.sortWithinPartitions("term"), spark, "postings")
         self.postings = self.index.where("term >= 0").select("term", "did", "pos")
         counts = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.ranked = materialize(self._rarest(counts), spark, "anchors")
+        self.counts = materialize(counts, spark, "counts")
+        self.pairs = materialize(self._rarest_pairs(), spark, "anchors")
 
-    def _rarest(self, counts: DataFrame) -> DataFrame:
-        """Per window of an item: place and term of its rarest and second rarest word."""
+    @staticmethod
+    def _windows() -> Column:
+        """Starts of the windows of an item that hold the place ``p``."""
         last = F.greatest(F.col("n") - WINDOW, F.lit(0))
-        starts = F.sequence(F.greatest(F.col("p") - (WINDOW - 1), F.lit(0)), F.least("p", last))
-        inside = self.places.join(counts, "term", "left").na.fill({"df": 0})
-        inside = inside.select("cls", "p", "term", "df", F.explode(starts).alias("s"))
+        return F.sequence(F.greatest(F.col("p") - (WINDOW - 1), F.lit(0)), F.least("p", last))
+
+    def _rarest(self, most: int) -> DataFrame:
+        """The ``most`` rarest words of every window: cls, s (its start), p, term, df, rank."""
+        inside = self.places.join(_sized(self.counts), "term", "left").na.fill({"df": 0})
+        inside = inside.select("cls", "p", "term", "df", F.explode(self._windows()).alias("s"))
         rank = F.row_number().over(W.partitionBy("cls", "s").orderBy("df", "p"))
-        inside = inside.withColumn("rank", rank).where("rank <= 2")
+        return inside.withColumn("rank", rank).where(F.col("rank") <= most)
+
+    def _rarest_pairs(self) -> DataFrame:
+        """Per window of an item: place and term of its rarest and second rarest word."""
+        inside = self._rarest(2)
         first = [F.max(F.when(F.col("rank") == 1, F.col(c))).alias(f"{c}1") for c in ("p", "term", "df")]
         second = [F.max(F.when(F.col("rank") == 2, F.col(c))).alias(f"{c}2") for c in ("p", "term")]
         found = inside.groupBy("cls", "s").agg(*first, *second).where("df1 > 0")
@@ -90,16 +99,14 @@ class PhraseIndex:
     def documents(self) -> DataFrame:
         return self.index.where("term < 0").select("did", "doc_id", "text_hash", F.col("pos").alias("n_words"))
 
-    def _seeds(self, slop: int) -> DataFrame:
-        """Alignments (did, cls, delta) at which the two rarest terms of a window stand in place."""
-        anchors = _sized(self.ranked)
-        seeds = self.postings.join(anchors, F.col("term") == F.col("term1"))
+    def _alignments(self) -> DataFrame:
+        """(did, cls, delta) at which the two rarest words of a window stand in place."""
+        seeds = self.postings.join(_sized(self.pairs), F.col("term") == F.col("term1"))
         seeds = seeds.select("did", "cls", (F.col("pos") - F.col("p1")).alias("delta"), "p2", "term2")
         alone = seeds.where("p2 IS NULL").select("did", "cls", "delta")
-        away = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
-        seeds = seeds.where("p2 IS NOT NULL").withColumn("away", away)
-        seeds = seeds.select("did", (F.col("delta") + F.col("p2") + F.col("away")).alias("pos"), F.col("term2").alias("term"), "cls", "delta")
-        wanted = materialize(self.ranked.select(F.col("term2").alias("term")).distinct(), self.spark, "seconds")
+        seeds = seeds.where("p2 IS NOT NULL")
+        seeds = seeds.select("did", (F.col("delta") + F.col("p2")).alias("pos"), F.col("term2").alias("term"), "cls", "delta")
+        wanted = materialize(self.pairs.select(F.col("term2").alias("term")).distinct(), self.spark, "seconds")
         seconds = self.postings.join(_sized(wanted), "term", "left_semi")
         both = seeds.join(seconds, ["did", "pos", "term"]).select("did", "cls", "delta")
         return both.unionByName(alone).distinct()
@@ -111,7 +118,7 @@ class PhraseIndex:
 
     def phrases(self) -> DataFrame:
         """Exact matches: did, cls, first and last word position (from 1) of every run of matching windows."""
-        seeds = materialize(self._seeds(0), self.spark, "alignments")
+        seeds = materialize(self._alignments(), self.spark, "alignments")
         expected = seeds.join(_sized(self.places), "cls").withColumn("pos", F.col("delta") + F.col("p"))
         matched = expected.join(self._within(seeds), ["did", "pos", "term"])
         order = F.row_number().over(W.partitionBy("did", "cls", "delta").orderBy("p"))
@@ -120,16 +127,20 @@ class PhraseIndex:
         return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(WINDOW), "n")).select("did", "cls", "first", "last")
 
     def near_phrases(self, slop: int = 2, min_words: int = WINDOW - 2) -> DataFrame:
-        """Proximity matches: windows of an item of which at least ``min_words`` words stand within ``slop`` of
-        their place, counted from an alignment of the two rarest ones: did, cls, start (in the item), at, found."""
-        seeds = materialize(self._seeds(slop), self.spark, "near")
-        last = F.greatest(F.col("n") - WINDOW, F.lit(0))
-        starts = F.sequence(F.greatest(F.col("p") - (WINDOW - 1), F.lit(0)), F.least("p", last))
+        """Proximity matches: windows of an item of which at least ``min_words`` words (all of a shorter one) stand
+        within ``slop`` of their place, counted from one of them: did, cls, start (in the item), at, found.
+
+        One of a window's rarest words must be there if only so many may be missing; these give the alignments.
+        """
+        anchors = self._rarest(WINDOW - min_words + 1).where("df > 0").select("cls", F.col("p").alias("p1"), "term").distinct()
+        anchors = materialize(anchors, self.spark, "anchors")
+        seeds = self.postings.join(_sized(anchors), "term").select("did", "cls", (F.col("pos") - F.col("p1")).alias("delta"))
+        seeds = materialize(seeds.distinct(), self.spark, "near")
         away = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
         expected = seeds.join(_sized(self.places), "cls").withColumn("away", away)
         expected = expected.withColumn("pos", F.col("delta") + F.col("p") + F.col("away"))
         matched = expected.join(self._within(seeds), ["did", "pos", "term"]).select("did", "cls", "delta", "p", "n").distinct()
-        windows = matched.select("did", "cls", "delta", "n", F.explode(starts).alias("start"))
+        windows = matched.select("did", "cls", "delta", "n", F.explode(self._windows()).alias("start"))
         found = windows.groupBy("did", "cls", "delta", "start", "n").agg(F.count("*").alias("found"))
         found = found.where(F.col("found") >= F.least(F.lit(min_words), "n"))
         return found.select("did", "cls", "start", (F.col("delta") + F.col("start")).alias("at"), "found")

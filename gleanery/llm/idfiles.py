@@ -34,9 +34,11 @@ from .common import SLICE_BYTES, Remembered, gather, materialize, slices, texts_
 
 MAGIC = b"GLIDF1\n\0"
 #: Runs of text kept per Python worker and generation; it only bounds memory.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: Words given to the library in one text.
 JOINED_WORDS = 500
+#: Texts per call of the library, whose results are many times larger than the ids taken from them.
+ASKED_TEXTS = 16
 #: Ids decoded at a time while reading a file, by whole documents.
 READ_IDS = 1 << 21
 #: Ids coded in one call while writing; whole blocks.
@@ -66,20 +68,24 @@ class WordTokenizer:
         words = [r for r in runs if r.isalpha()]
         others = [r for r in runs if not r.isalpha()]
         groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
-        joined = [b" ".join(g).decode() for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(group):
-                others += group
-                continue
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[word] = raw[start:end]
-                start = end
-        texts = [r.decode() for r in others]
-        for run, found in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[run] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        for k in range(0, len(groups), ASKED_TEXTS):
+            part = groups[k : k + ASKED_TEXTS]
+            joined = [b" ".join(g).decode() for g in part]
+            for group, found in zip(part, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype="<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(group):
+                    others += group
+                    continue
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(group, (4 * ends).tolist(), strict=True):
+                    self.known[word] = raw[start:end]
+                    start = end
+        for k in range(0, len(others), ASKED_TEXTS * JOINED_WORDS):
+            part = others[k : k + ASKED_TEXTS * JOINED_WORDS]
+            texts = [r.decode() for r in part]
+            for run, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[run] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def _runs(self, runs: list[bytes]) -> list[bytes]:
         known = self.known
@@ -150,7 +156,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, end_id: int, key: str, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(sent)
         for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE_BYTES):
+            for part in slices(batch, "text", SLICE_BYTES // 2):
                 ids, ends = tokenizer.encode_batch(texts_of(part))
                 bounds = [0, *ends.tolist()]
                 packed = [pack(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(bounds, bounds[1:], strict=False)]
