@@ -46,7 +46,9 @@ def validate_annotations(
     # The stored ids are narrowed to the annotated ones before anything of them is shuffled.
     stored = articles.select("id").join(first.select("id"), "id", "left_semi").distinct()
     known = first.join(stored, "id")
-    joined = parsed.join(known, "id", "left")
+    # Lines without an id stay out of the join, where they would be one key.
+    unread = parsed.where(F.col("id").isNull()).withColumn("premiere", F.lit(None).cast("long"))
+    joined = ids.join(known, "id", "left").unionByName(unread)
     foreign = F.filter("themes", lambda t: ~t.isin(list(labels)))
     reason = (
         F.when(F.col("id_texte").isNull(), "no comma")

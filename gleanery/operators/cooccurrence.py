@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonarrays import explode_labels
 from ..model import MIN_SUPPORT, TOP_PAIRS
 
-# Rows of a basket handled together; larger baskets are spread over several tasks.
+# Tags of a basket that stand in one row.
 CHUNK = 256
-SEEDS = 64
 
 
 def item_tags(articles: DataFrame, item: str = "id", tags: str = "tags") -> DataFrame:
@@ -20,26 +17,15 @@ def item_tags(articles: DataFrame, item: str = "id", tags: str = "tags") -> Data
     return explode_labels(articles, tags, "tag", item).withColumnRenamed(item, "id")
 
 
-def tag_cooccurrence(
-    rows: DataFrame,
-    min_support: int = MIN_SUPPORT,
-    top: int | None = TOP_PAIRS,
-    seeds: int = SEEDS,
-) -> DataFrame:
+def tag_cooccurrence(rows: DataFrame, min_support: int = MIN_SUPPORT, top: int | None = TOP_PAIRS) -> DataFrame:
     """``tag_a, tag_b, support`` (items holding both) from ``id, tag`` rows, duplicates allowed.
 
-    Pairs below ``min_support`` are left out and the ``top`` best kept, ties by tag. Three exact
-    cuts keep the pair volume down: a tag on fewer than ``min_support`` rows cannot be in a kept
-    pair; with ``top``, neither can a tag rarer than the ``top``-th best pair among the ``seeds``
-    most frequent tags; and pairs are counted map-side before they are shuffled. ``seeds=0``
-    turns the second cut off.
+    Pairs below ``min_support`` are left out and the ``top`` best kept, ties by tag. A tag on fewer
+    than ``min_support`` rows cannot be in a kept pair and is left out first; pairs are counted
+    map-side before they are shuffled.
     """
     rows = rows.where(F.col("tag").isNotNull())
-    occurrences = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
-    frequent = occurrences
-    if top is not None and seeds:
-        bound: Column = _seed_bound(rows, occurrences, top, seeds).scalar()
-        frequent = occurrences.where(F.col("n") >= F.coalesce(bound, F.lit(0)))
+    frequent = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
     pairs = _pair_support(_baskets(rows.join(frequent.select("tag"), "tag", "left_semi")))
     kept = pairs.where(F.col("support") >= min_support)
     if top is None:
@@ -47,40 +33,22 @@ def tag_cooccurrence(
     return kept.orderBy(F.desc("support"), "tag_a", "tag_b").limit(top)
 
 
-def _seed_bound(rows: DataFrame, occurrences: DataFrame, top: int, seeds: int) -> DataFrame:
-    """One value: support of the ``top``-th best pair of seed tags, NULL when it would cut nothing.
-
-    With no more tags than seeds the seed list comes out empty, and adaptive execution then skips
-    the pass over the rows.
-    """
-    wanted = max(seeds, ceil(2 * sqrt(top)) + 1)
-    leaders = occurrences.orderBy(F.desc("n"), "tag").limit(wanted + 1)
-    found = F.count("*").over(Window.partitionBy(F.lit(0)))
-    best = leaders.withColumn("found", found).where(F.col("found") > wanted).select("tag")
-    # At most ``wanted + 1`` rows, whatever the data.
-    seeded = rows.join(F.broadcast(best), "tag", "left_semi")
-    strongest = _pair_support(_baskets(seeded)).orderBy(F.desc("support")).limit(top)
-    return strongest.agg(F.when(F.count("*") == top, F.min("support")))
-
-
 def _baskets(rows: DataFrame) -> DataFrame:
     """Distinct tags per item; the set is built map-side first, so a hot item stays within its vocabulary."""
     sets = rows.groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-    return sets.where(F.size("tags") >= 2).select("id", "tags")
+    return sets.where(F.size("tags") >= 2).select("tags")
 
 
 def _pair_support(baskets: DataFrame) -> DataFrame:
-    small = baskets.where(F.size("tags") <= CHUNK).select("tags", F.posexplode("tags").alias("i", "tag_a"))
-    # A large basket is cut into chunks of leading tags, spread before they meet the others.
-    starts = F.explode(F.sequence(F.lit(0), F.size("tags") - 1, F.lit(CHUNK)))
-    chunks = baskets.where(F.size("tags") > CHUNK).select("id", "tags", starts.alias("start")).repartition("id", "start")
-    spread = chunks.select(
-        "tags", "start", F.posexplode(F.slice("tags", F.col("start") + 1, F.lit(CHUNK))).alias("k", "tag_a")
-    ).select("tags", (F.col("start") + F.col("k")).alias("i"), "tag_a")
-    after = F.slice("tags", F.col("i") + 2, F.size("tags"))
-    return (
-        small.unionByName(spread)
-        .select("tag_a", F.explode(after).alias("tag_b"))
-        .groupBy("tag_a", "tag_b")
-        .agg(F.count("*").alias("support"))
-    )
+    """Every basket is cut into runs of ``CHUNK`` tags, and each two runs are a row of their own.
+
+    So a row holds two runs at most, however large the basket, and rebalancing spreads a large
+    basket's rows over the tasks. A basket of up to ``CHUNK`` tags is one row.
+    """
+    starts = F.sequence(F.lit(1), F.size("tags"), F.lit(CHUNK))
+    cut = baskets.select(F.transform(starts, lambda s: F.slice("tags", s, CHUNK)).alias("runs"))
+    lead = cut.select("runs", F.posexplode("runs").alias("i", "run_a"))
+    met = lead.select("run_a", F.explode(F.slice("runs", F.col("i") + 1, F.size("runs"))).alias("run_b"))
+    each = met.hint("rebalance").select(F.explode("run_a").alias("tag_a"), "run_b")
+    found = each.select("tag_a", F.explode("run_b").alias("tag_b")).where(F.col("tag_a") < F.col("tag_b"))
+    return found.groupBy("tag_a", "tag_b").agg(F.count("*").alias("support"))

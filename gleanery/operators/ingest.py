@@ -11,10 +11,11 @@ from .normalize import from_events, from_legacy, reject_reason
 
 
 def rejected(events: DataFrame) -> DataFrame:
-    """Events that cannot be stored, with ``motif``; unreadable lines keep their text in ``_corrupt_record``."""
+    """Events that cannot be stored, with ``motif``; lines that are no JSON keep their text in ``ligne``."""
     reason = reject_reason()
     if "_corrupt_record" in events.columns:
-        reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("unreadable JSON")).otherwise(reason)
+        events = events.withColumnRenamed("_corrupt_record", "ligne")
+        reason = F.when(F.col("ligne").isNotNull(), F.lit("unreadable JSON")).otherwise(reason)
     return events.withColumn("motif", reason).where(F.col("motif").isNotNull())
 
 

@@ -37,8 +37,7 @@ def stratified_sample(
     ranked = _by_label(articles, labels).withColumn("r1", in_source).where(F.col("r1") <= quota)
     in_theme = F.row_number().over(Window.partitionBy("theme").orderBy("r1", "id"))
     picked = ranked.withColumn("r2", in_theme).where(F.col("r2") <= quota).select("id").distinct()
-    # At most quota ids per label.
-    return articles.join(F.broadcast(picked), "id", "left_semi")
+    return articles.join(picked, "id", "left_semi")
 
 
 def greedy_sample(articles: DataFrame, labels: Sequence[str] = LABELS, target: int = SAMPLE_TARGET) -> DataFrame:
@@ -55,8 +54,7 @@ def greedy_sample(articles: DataFrame, labels: Sequence[str] = LABELS, target: i
         return pd.DataFrame({"id": _choose(pdf, list(labels), quota, target)}, dtype="int64")
 
     picked = reach.groupBy("lot").applyInPandas(choose, "id long")
-    # ``choose`` returns at most ``target`` ids.
-    return articles.join(F.broadcast(picked), "id", "left_semi")
+    return articles.join(picked, "id", "left_semi")
 
 
 def _reachable(articles: DataFrame, labels: Sequence[str], target: int) -> DataFrame:
@@ -67,7 +65,7 @@ def _reachable(articles: DataFrame, labels: Sequence[str], target: int) -> DataF
     lowest = F.row_number().over(Window.partitionBy("theme").orderBy("first"))
     sources = starts.withColumn("s", lowest).where(F.col("s") <= target)
     # At most ``target`` sources per stratum. A missing source is one source, too.
-    keep = F.broadcast(sources.select(F.col("theme").alias("t"), F.col("source").alias("o")))
+    keep = sources.select(F.col("theme").alias("t"), F.col("source").alias("o"))
     same = (F.col("theme") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))
     return firsts.join(keep, same, "left_semi").select("id", "source", "theme", F.lit(0).alias("lot"))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of
@@ -15,9 +16,6 @@ from ..functions.sets import disjoint, has_label
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
 
-# Above this many skipped rows a page is located by day counts first.
-DEEP_OFFSET = 10_000
-
 
 def leading_int(value: object) -> int | None:
     """Integer prefix of a request parameter, None when it has none."""
@@ -106,43 +104,40 @@ def _newest_first() -> list[Column]:
     return [F.desc("date_article"), F.desc("date_collecte"), F.asc("id")]
 
 
-def page(found: DataFrame, page: object = None, limit: object = None, deep_offset: int = DEEP_OFFSET) -> DataFrame:
-    """One page, newest first, ties by id.
+def page(found: DataFrame, page: object = None, limit: object = None) -> DataFrame:
+    """One page, newest first, ties by id. One lazy plan at any depth; nothing runs before it is read.
 
-    Near pages are a top-k. For a far page that would make one task hold everything skipped, so
-    the rows before it are skipped by their counts and only the runs it touches are sorted.
+    The rows before a page are ranked with it, so its cost grows with its depth. Who walks far
+    through a result goes on from the last row seen: :func:`page_after`.
     """
     number, size = page_bounds(page, limit)
-    offset = (number - 1) * size
-    if offset > deep_offset:
-        found, offset = _skip_by_counts(found, offset, size, deep_offset)
-    return found.orderBy(*_newest_first()).offset(offset).limit(size)
-
-
-def _run_keys() -> list[list[Column]]:
-    """Ever finer cuts of the page order, each sorted descending; one hot value is cut further."""
-    a, c, i = F.col("date_article"), F.col("date_collecte"), F.col("id")
-    cuts = [[F.substring(a, 1, n)] for n in (10, 13, 19)] + [[a]]
-    cuts += [[a, F.substring(c, 1, n)] for n in (10, 13, 19)] + [[a, c]]
-    return cuts + [[a, c, -F.shiftright(i, n)] for n in (32, 16)]
-
-
-def _skip_by_counts(found: DataFrame, offset: int, size: int, deep_offset: int) -> tuple[DataFrame, int]:
-    for keys in _run_keys():
-        if offset <= deep_offset:
-            break
-        names = [f"k{i}" for i in range(len(keys))]
-        counts = found.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias("n"))
-        earlier = Window.orderBy(*[F.desc(n) for n in names]).rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        # Every run met by the page holds one of its rows: at most ``size`` (100) rows come back.
-        runs = placed.where((F.col("before") < offset + size) & (F.col("before") + F.col("n") > offset)).collect()
-        if not runs:
-            return found.limit(0), 0
-        met = [reduce(lambda x, y: x & y, [k.eqNullSafe(r[n]) for k, n in zip(keys, names)]) for r in runs]
-        found = found.where(reduce(lambda x, y: x | y, met))
-        offset -= min(r["before"] for r in runs)
-    return found, offset
+    return found.orderBy(*_newest_first()).offset((number - 1) * size).limit(size)
+
+
+def page_after(found: DataFrame, last: Mapping | None, limit: object = None) -> DataFrame:
+    """The page that follows the row ``last`` (its date_article, date_collecte and id); the first page for None.
+
+    Earlier rows are filtered out by key, so every page is a small top-k, however far it lies.
+    """
+    size = page_bounds(None, limit)[1]
+    if last is not None:
+        found = found.where(_behind(last["date_article"], last["date_collecte"], last["id"]))
+    return found.orderBy(*_newest_first()).limit(size)
+
+
+def _behind(article: str | None, collected: str | None, row_id: int) -> Column:
+    """Later in page order than the given key: descending texts with missing ones last, then ascending ids."""
+
+    def lower(name: str, value: str | None) -> Column:
+        return F.lit(False) if value is None else (F.col(name) < F.lit(value)) | F.col(name).isNull()
+
+    same_article = F.col("date_article").eqNullSafe(F.lit(article))
+    same_both = same_article & F.col("date_collecte").eqNullSafe(F.lit(collected))
+    return (
+        lower("date_article", article)
+        | (same_article & lower("date_collecte", collected))
+        | (same_both & (F.col("id") > F.lit(row_id)))
+    )
 
 
 def pagination(found: DataFrame, page: object = None, limit: object = None) -> DataFrame:

@@ -42,7 +42,7 @@ def _brand_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _article_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return tag_cooccurrence(item_tags(articles(spark, folder)), top=None)
+    return tag_cooccurrence(item_tags(articles(spark, folder)), top=200)
 
 
 # --- trends --------------------------------------------------------------------------------
@@ -80,15 +80,12 @@ def _article_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return agreement.agreement_by_label(articles(spark, folder), "themes_mistral", "themes_ml")
 
 
-_AGREEMENT_SQL = """SELECT {total} AS total, {n} AS compares,
-  count(*) FILTER (both_set AND len(m) = len(b) AND inter = len(m)) AS accord_exact,
-  count(*) FILTER (both_set AND inter > 0) AS chevauchement,
-  coalesce(floor(avg(CASE WHEN both_set THEN CASE WHEN uni = 0 THEN 1.0 ELSE inter / uni END END) * 1000 + 0.5) / 1000, 0.0)
+_AGREEMENT_SQL = """SELECT count(*) AS total, count(both_sizes) AS compares,
+  count(*) FILTER (common = both_sizes / 2 AND same_size) AS accord_exact,
+  count(*) FILTER (common > 0) AS chevauchement,
+  coalesce(floor(avg(CASE both_sizes WHEN 0 THEN 1.0 ELSE common / (both_sizes - common) END) * 1000 + 0.5) / 1000, 0.0)
     AS jaccard_moyen
-FROM (SELECT m, b, m IS NOT NULL AND b IS NOT NULL AS both_set, len(list_intersect(m, b)) AS inter,
-  len(m) + len(b) - len(list_intersect(m, b)) AS uni FROM docs)""".format(
-    total="count(*)", n="count(*) FILTER (both_set)"
-)
+FROM (SELECT len(m) + len(b) AS both_sizes, len(m) = len(b) AS same_size, len(list_intersect(m, b)) AS common FROM docs)"""
 
 
 def _by_label_sql(source: str, labels: list[str]) -> str:
@@ -173,27 +170,34 @@ def _backtest(spark: SparkSession, folder: str) -> DataFrame:
     return health.freshness_backtest(_client_days(spark, folder), "jour", ok_days=0, alert_days=1)
 
 
-_KPI_SQL = """faits AS (
-  SELECT CAST(ts_collecte AS DATE) AS j, CASE WHEN date_collecte < '1998-04-01' THEN 'avant' ELSE 'apres' END AS ere,
-    score_mistral AS s, categorie_mistral AS c, themes_mistral, source,
-    (epoch_us(ts_collecte) - epoch_us(ts_article)) / 86400000000.0 AS age FROM articles),
-ecarts AS (
-  SELECT ere, CAST(datediff('day', lag(j) OVER (PARTITION BY ere ORDER BY j), j) AS INTEGER) AS e
-  FROM (SELECT DISTINCT ere, j FROM faits)),
-regularite AS (
-  SELECT ere, round(avg(e), 1) AS intervalle_moyen_j, round(median(e), 1) AS intervalle_median_j,
-    max(e) AS plus_longue_interruption_j FROM ecarts WHERE e IS NOT NULL GROUP BY ere),
-volumes AS (
-  SELECT ere, count(*) AS articles, count(DISTINCT j) AS passes, CAST(min(j) AS VARCHAR) AS premiere_collecte,
-    CAST(max(j) AS VARCHAR) AS derniere_collecte, CAST(datediff('day', min(j), max(j)) AS INTEGER) AS etendue_j,
-    ((20 * count(*) + count(DISTINCT j)) // (2 * count(DISTINCT j))) / 10.0 AS articles_par_passe,
-    round(avg(age), 1) AS age_moyen_j,
-    ((2000 * count(*) FILTER (s = 3) + count(*)) // (2 * count(*))) / 10.0 AS pct_score_3,
-    ((2000 * count(*) FILTER (s = 4) + count(*)) // (2 * count(*))) / 10.0 AS pct_score_4,
-    count(*) FILTER (s IN (1, 2)) AS notes_1_ou_2, count(*) FILTER (s = 5) AS notes_5,
-    count(DISTINCT c) AS categories_distinctes, count(*) FILTER (c = 'HORS_SCOPE') AS hors_scope,
-    count(DISTINCT source) AS sources_distinctes, count(*) FILTER (themes_mistral IS NULL) AS sans_theme
-  FROM faits GROUP BY ere)"""
+# One row per era and collection day, then one per era: days are rows there, so passes, span and gaps
+# are plain aggregates. Averages of ages and shares are rebuilt from sums and counts.
+_KPI_SQL = """par_jour AS (
+  SELECT date_collecte < '1998-04-01' AS avant, CAST(ts_collecte AS DATE) AS jour, count(*) AS n,
+    sum((epoch_us(ts_collecte) - epoch_us(ts_article)) / 86400000000.0) AS ages, count(ts_article) AS n_ages,
+    list(score_mistral) AS scores, list(DISTINCT categorie_mistral) AS categories, list(DISTINCT source) AS sources,
+    count(*) FILTER (categorie_mistral = 'HORS_SCOPE') AS hors, count(*) FILTER (themes_mistral IS NULL) AS sans
+  FROM articles GROUP BY ALL),
+avec_ecart AS (
+  SELECT *, jour - max(jour) OVER (PARTITION BY avant ORDER BY jour ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS ecart
+  FROM par_jour),
+par_ere AS (
+  SELECT avant, sum(n) AS n, count(*) AS passes, min(jour) AS debut, max(jour) AS fin, sum(ages) / sum(n_ages) AS age,
+    flatten(list(scores)) AS scores, len(list_distinct(flatten(list(categories)))) AS categories,
+    len(list_distinct(flatten(list(sources)))) AS sources, sum(hors) AS hors, sum(sans) AS sans,
+    avg(ecart) AS ecart_moyen, median(ecart) AS ecart_median, max(ecart) AS ecart_max
+  FROM avec_ecart GROUP BY avant HAVING count(ecart) > 0),
+comptes AS (
+  SELECT *, len(list_filter(scores, lambda x: x = 3)) AS n3, len(list_filter(scores, lambda x: x = 4)) AS n4,
+    len(list_filter(scores, lambda x: x <= 2)) AS n12, len(list_filter(scores, lambda x: x = 5)) AS n5 FROM par_ere)"""
+_KPI_ROW = """SELECT CASE WHEN avant THEN 'avant' ELSE 'apres' END AS ere, CAST(n AS BIGINT) AS articles, passes,
+  CAST(debut AS VARCHAR) AS premiere_collecte, CAST(fin AS VARCHAR) AS derniere_collecte,
+  CAST(fin - debut AS INTEGER) AS etendue_j, CAST(((20 * n + passes) // (2 * passes)) / 10.0 AS DOUBLE) AS articles_par_passe,
+  round(age, 1) AS age_moyen_j, CAST(((2000 * n3 + n) // (2 * n)) / 10.0 AS DOUBLE) AS pct_score_3,
+  CAST(((2000 * n4 + n) // (2 * n)) / 10.0 AS DOUBLE) AS pct_score_4, n12 AS notes_1_ou_2, n5 AS notes_5,
+  categories AS categories_distinctes, CAST(hors AS BIGINT) AS hors_scope, sources AS sources_distinctes,
+  CAST(sans AS BIGINT) AS sans_theme, round(ecart_moyen, 1) AS intervalle_moyen_j,
+  round(ecart_median, 1) AS intervalle_median_j, CAST(ecart_max AS INTEGER) AS plus_longue_interruption_j FROM comptes"""
 
 # --- second classification -----------------------------------------------------------------
 
@@ -203,7 +207,8 @@ def _pairs():
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    responses = vector_scores(spark, folder, list(LABEL_HYPOTHESES.values()))
+    """Vectors labelled 3 answer in texts that no label has, so they fail."""
+    responses = vector_scores(spark, folder, list(LABEL_HYPOTHESES.values()), failing=3)
     return labels_from_scores(responses, _pairs(), places=4)
 
 
@@ -236,11 +241,11 @@ QUERIES = {
         SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS support FROM it a JOIN it b ON a.id = b.id AND a.tag < b.tag
         GROUP BY ALL HAVING count(*) >= 5 ORDER BY support DESC, tag_a, tag_b LIMIT 50""",
     ),
-    "tag_cooccurrence_all_pairs": Query(
+    "tag_cooccurrence_articles": Query(
         _article_pairs,
         _sql(
             """SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS support FROM it a JOIN it b ON a.id = b.id AND a.tag < b.tag
-            GROUP BY ALL HAVING count(*) >= 5""",
+            GROUP BY ALL HAVING count(*) >= 5 ORDER BY support DESC, tag_a, tag_b LIMIT 200""",
             "it AS (SELECT DISTINCT id, unnest(t) AS tag FROM articles)",
         ),
     ),
@@ -336,7 +341,7 @@ QUERIES = {
           max(g) AS plus_longue_interruption_j FROM e WHERE g IS NOT NULL GROUP BY client""",
     ),
     "process_kpis": Query(
-        _kpis, _sql("SELECT v.*, r.* EXCLUDE (ere) FROM volumes v JOIN regularite r ON r.ere = v.ere", _KPI_SQL)
+        _kpis, _sql(_KPI_ROW, _KPI_SQL)
     ),
     "collection_regularity": Query(
         _regularity,
@@ -356,12 +361,13 @@ QUERIES = {
     "score_labels": Query(
         _score_labels,
         f"""WITH {_SCORES} SELECT id, array_to_string(kept, '|') AS themes,
-          floor(list_max(s) * 10000 + 0.5) / 10000 AS confiance, CAST(NULL AS VARCHAR) AS erreur FROM lab""",
+          floor(list_max(s) * 10000 + 0.5) / 10000 AS confiance, CAST(NULL AS VARCHAR) AS erreur FROM lab WHERE label <> 3
+        UNION ALL SELECT id, NULL, NULL, 'unusable response' FROM lab WHERE label = 3""",
     ),
     "score_outcomes": Query(
         _outcomes,
-        f"""WITH {_SCORES} SELECT count(*) AS classes, CAST(0 AS BIGINT) AS echecs,
-          count(*) FILTER (len(kept) = 0) AS sans_theme FROM lab""",
+        f"""WITH {_SCORES} SELECT count(*) FILTER (label <> 3) AS classes, count(*) FILTER (label = 3) AS echecs,
+          count(*) FILTER (label <> 3 AND len(kept) = 0) AS sans_theme FROM lab""",
     ),
     "micro_f1": Query(
         _micro_f1,

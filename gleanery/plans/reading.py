@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import in_day
 from ..operators import search as s
 from ..operators import stats
 from ..operators.normalize import decode_rows
@@ -25,13 +26,24 @@ def _flat(rows: DataFrame) -> DataFrame:
     return decode_rows(rows).withColumns({c: F.array_join(c, "|") for c in ("themes_mistral", "themes_ml", "tags")})
 
 
-def _page(params: dict, page: str, limit: str, **how):
+def _page(params: dict, page: str, limit: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _flat(s.page(s.search(articles(spark, folder), **params), page, limit, **how))
+        return _flat(s.page(s.search(articles(spark, folder), **params), page, limit))
 
     return run
 
 
+def _page_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The page behind the last row of page 9."""
+    found = s.search(articles(spark, folder), ml="oui")
+    return _flat(s.page_after(found, s.page(found, "9", "100").collect()[-1], "100"))
+
+
+def _day(spark: SparkSession, folder: str) -> DataFrame:
+    a = articles(spark, folder)
+    return a.where(in_day(F.col("date_article"), "1996-06-15")).select("id", "url", "date_article")
+
+
 def _total(spark: SparkSession, folder: str) -> DataFrame:
     return s.pagination(s.search(articles(spark, folder), **FIRST_PAGE), "3", "20")
 
@@ -93,9 +105,16 @@ QUERIES = {
         ),
     ),
     "search_far_page": Query(
-        _page({"ml": "oui"}, "10", "100", deep_offset=200),
+        _page({"ml": "oui"}, "10", "100"),
         _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 900"),
     ),
+    "search_page_after": Query(
+        _page_after, _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 900")
+    ),
+    "day_slice": Query(
+        _day,
+        _sql("SELECT id, url, date_article FROM articles WHERE date_article >= '1996-06-15' AND date_article < '1996-06-16'"),
+    ),
     "search_total": Query(
         _total,
         _sql(

@@ -180,7 +180,8 @@ def event_records(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "view", F.lit("")).otherwise(kind).alias("source"),
         F.when(F.col("value") < 5, F.lit("")).otherwise(F.concat(F.lit("value "), kind)).alias("resume"),
         F.when(kind != "click", F.upper(kind)).alias("categorie"),
-        (k % 6).alias("score"),
+        # A score may come as 3, as 3.0 and as a text.
+        F.when(kind == "purchase", F.concat(k % 6, F.lit(".0"))).otherwise((k % 6).cast("string")).alias("score"),
         F.when(kind == "purchase", F.concat(F.lit("Mon, "), mail))
         .when(kind == "error", F.date_format(moment, ISO_FORMAT))
         .when(kind == "click", F.lit("pas-une-date"))
@@ -216,16 +217,18 @@ stored AS (
   FROM ev WHERE event_type <> 'signup')"""
 
 
-def vector_scores(spark: SparkSession, folder: str, hypotheses: list[str]) -> DataFrame:
+def vector_scores(spark: SparkSession, folder: str, hypotheses: list[str], failing: int | None = None) -> DataFrame:
     """``embeddings`` as classifier responses: one score in 0..1 per component and hypothesis text.
 
-    Components beyond the hypotheses carry unknown texts, which the mapping must drop.
+    Components beyond the hypotheses carry unknown texts, which the mapping must drop; vectors
+    labelled ``failing`` carry nothing else.
     """
     v = table(spark, folder, "embeddings")
     scores = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 4)
     known = F.array(*[F.lit(h) for h in hypotheses])
+    fails = F.lit(False) if failing is None else F.col("label") == failing
     names = F.transform(
         F.sequence(F.lit(1), F.size("embedding")),
-        lambda i: F.coalesce(F.get(known, i - 1), F.concat(F.lit("texte "), i)),
+        lambda i: F.coalesce(F.when(~fails, F.get(known, i - 1)), F.concat(F.lit("texte "), i)),
     )
     return v.select(F.col("vec_id").alias("id"), names.alias("labels"), scores.alias("scores"))

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsonarrays import as_array
 from ..model import LABEL_HYPOTHESES
+from ..operators import sampling
 from ..operators.ingest import ingest_batch, legacy_batch
 from ..operators.normalize import from_events, reject_reason
 from ..session import work_dir
@@ -15,9 +17,10 @@ from ..sources import files
 from ..sources.store import Store
 from ..sources.tables import table
 from ..streaming.ingest import event_stream, start_ingest, store_responses
+from . import batch
 from .catalog import Query
-from .checks import NOW, STORED_SELECT, stored_view
-from .views import ARTICLES_SQL, RECORDS_SQL, articles, event_records
+from .checks import LINES_SQL, NOW, PICKED_SQL, STORED_SELECT, annotation_lines, stored_view
+from .views import ARTICLES_SQL, DOCUMENTS_SQL, RECORDS_SQL, annotated_documents, articles, event_records
 
 CLOCK = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 
@@ -33,7 +36,9 @@ def _csv(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_extract_csv(spark, path, rows.schema)
 
 
+# Rows of an envelope in memory, and of a file that holds one JSON value.
 ENVELOPE_ROWS = 1000
+FILE_ROWS = 10_000
 
 
 def _envelope(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,10 +54,60 @@ def _extract(spark: SparkSession, folder: str) -> DataFrame:
     return files.extract_columns(articles(spark, folder))
 
 
+def _envelope_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through files of one envelope each."""
+    a = articles(spark, folder)
+    path = work_dir(spark, "envelopes")
+    lot = F.floor(F.col("id") / FILE_ROWS).alias("lot")
+    results = F.collect_list(F.struct(*a.columns)).alias("results")
+    body = F.to_json(F.array(F.struct(results)), {"ignoreNullFields": "false"})
+    a.groupBy(lot).agg(body.alias("value")).write.partitionBy("lot").text(path)
+    return files.read_envelope(spark, path)
+
+
+def _annotation_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotation lines written below their header, in order, and numbered as they are read back."""
+    path = work_dir(spark, "annotations")
+    header = spark.createDataFrame([(-1, "id,themes_manuels")], "ligne long, texte string")
+    lines = annotation_lines(spark, folder).unionByName(header)
+    ordered = lines.repartitionByRange("ligne").sortWithinPartitions("ligne")
+    ordered.select(F.concat("texte", F.lit("\r")).alias("texte")).write.text(path)
+    return files.read_annotation_lines(spark, path)
+
+
+def _suggestion_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of documents through JSON maps from id to labels."""
+    d = annotated_documents(spark, folder)
+    path = work_dir(spark, "suggestions")
+    entry = F.struct(F.col("id").cast("string"), as_array(d, "themes_ml"))
+    lot = F.floor(F.col("id") / FILE_ROWS).alias("lot")
+    maps = d.groupBy(lot).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    maps.write.partitionBy("lot").text(path)
+    return files.read_suggestions(spark, path).select("id", F.array_join("themes", "|").alias("themes"))
+
+
+def _batch_report(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV extract in, three CSV reports out; read back as one table."""
+    root = work_dir(spark, "batch")
+    files.write_csv(files.extract_columns(articles(spark, folder)), f"{root}/extract")
+    batch.run(files.read_extract_csv(spark, f"{root}/extract"), f"{root}/out")
+    schemas = {
+        "freq_themes": "cle string, detail string, nb long, valeur string",
+        "cooccurrences_tags": "cle string, detail string, nb long",
+        "tendances_hebdo": "cle string, nb long, valeur string",
+    }
+    rows = [
+        spark.read.schema(schema).options(header="true", enforceSchema="true").csv(f"{root}/out/{name}").withColumn("rapport", F.lit(name))
+        for name, schema in schemas.items()
+    ]
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    return both.select("rapport", F.when(F.col("rapport") == "tendances_hebdo", F.substring("cle", 1, 10)).otherwise(F.col("cle")).alias("cle"), "detail", "nb", "valeur")
+
+
 def _sheet_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The annotator's sample, sorted by id, through its JSON file."""
     path = work_dir(spark, "sample")
-    a = articles(spark, folder)
-    files.write_sample(a.select("id", "titre", "resume", "source", "url"), path)
+    files.write_sample(sampling.sample_sheet(sampling.stratified_sample(articles(spark, folder))), path)
     return spark.read.schema("id long, titre string, resume string, source string, url string").json(path)
 
 
@@ -131,8 +186,11 @@ def _stored_labels(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit(hypotheses[3]).alias("label"), F.lit(0.25).alias("score")),
     )
     body = F.when(F.col("source") == "click", F.lit('{"error": "overloaded"}')).otherwise(F.to_json(pairs))
-    responses = facts.select("url", body.alias("reponse"))
-    store_responses(store, responses)
+    # Purchases answer twice, first with a score below the threshold; what came last holds.
+    earlier = F.regexp_replace(F.to_json(pairs), "0[.]875", "0.125")
+    first = facts.where(F.col("source") == "purchase").select("url", earlier.alias("reponse"), F.lit(1).alias("rang"))
+    responses = facts.select("url", body.alias("reponse"), F.lit(2).alias("rang")).unionByName(first)
+    store_responses(store, responses, "rang")
     return store.articles().select("url", "titre", "themes_ml", "score_confiance_ml")
 
 
@@ -147,6 +205,24 @@ def _streamed(spark: SparkSession, folder: str) -> Store:
     return store
 
 
+def _stream_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder).calendar().withColumn("date_complete", F.col("date_complete").cast("string"))
+
+
+def _stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejects of a stream that is delivered twice: sign-ups lack a title, and come once more cut short."""
+    root = work_dir(spark, "rejects")
+    store = Store(spark, root).create()
+    records = event_records(spark, folder)
+    records.drop("rang").write.json(f"{root}/incoming")
+    cut = records.where(F.col("source") == "signup").select(F.concat(F.lit('{"link":"'), "link", F.lit('","title')).alias("value"))
+    cut.write.mode("append").text(f"{root}/incoming")
+    for attempt in ("a", "b"):  # a lost checkpoint: every batch is replayed under its number
+        stream = event_stream(spark, f"{root}/incoming")
+        start_ingest(stream, store, f"{root}/progress-{attempt}", lambda: CLOCK, f"{root}/refus").awaitTermination()
+    return spark.read.schema("motif string, link string, ligne string").json(f"{root}/refus")
+
+
 def _stream_facts(spark: SparkSession, folder: str) -> DataFrame:
     return stored_view(_streamed(spark, folder).articles())
 
@@ -165,6 +241,22 @@ SELECT CAST(jour AS VARCHAR), true, NULL, count(*), avg(score_mistral) FROM stor
 _PLAIN = """SELECT id, titre, url, resume, source, categorie_mistral, score_mistral, themes_mistral, themes_ml,
   score_confiance_ml, tags, date_article, date_collecte FROM articles"""
 
+_REPORT_SQL = f"""WITH {ARTICLES_SQL},
+tagged AS (SELECT DISTINCT id, unnest(t) AS tag FROM articles),
+pairs AS (
+  SELECT a.tag AS cle, b.tag AS detail, count(*) AS nb FROM tagged a JOIN tagged b ON a.id = b.id AND a.tag < b.tag
+  GROUP BY ALL HAVING count(*) >= 5 ORDER BY nb DESC, cle, detail LIMIT 50),
+weeks AS (
+  SELECT time_bucket(INTERVAL '7 days', ts_article, TIMESTAMP '1970-01-01') AS semaine, count(*) AS nb
+  FROM articles WHERE ts_article IS NOT NULL GROUP BY 1)
+SELECT 'freq_themes' AS rapport, theme AS cle, origine AS detail, count(*) AS nb,
+  CASE WHEN theme = 'Produktivité/Outils' THEN 'true' ELSE 'false' END AS valeur
+FROM (SELECT unnest(m) AS theme, 'mistral' AS origine FROM articles UNION ALL SELECT unnest(b), 'ml' FROM articles) GROUP BY ALL
+UNION ALL SELECT 'cooccurrences_tags', cle, detail, nb, NULL FROM pairs
+UNION ALL SELECT 'tendances_hebdo', CAST(CAST(semaine AS DATE) AS VARCHAR), NULL, nb,
+  CAST(CAST(round(CAST(avg(nb) OVER (ORDER BY semaine ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DECIMAL(18, 6)), 2) AS DOUBLE) AS VARCHAR)
+FROM weeks"""
+
 QUERIES = {
     "csv_round_trip": Query(_csv, "SELECT doc_id AS id, text AS titre, source FROM documents"),
     "envelope_scan": Query(_envelope, f"WITH {ARTICLES_SQL} {_PLAIN}"),
@@ -173,7 +265,15 @@ QUERIES = {
         f"""WITH {ARTICLES_SQL} SELECT id, titre, url, source, date_article, themes_mistral, themes_ml,
         score_confiance_ml, tags FROM articles""",
     ),
-    "json_sheet": Query(_sheet_file, f"WITH {ARTICLES_SQL} SELECT id, titre, resume, source, url FROM articles"),
+    "json_sheet": Query(_sheet_file, f"WITH {ARTICLES_SQL}, {PICKED_SQL} SELECT id, titre, resume, source, url FROM picked"),
+    "envelope_files": Query(_envelope_files, f"WITH {ARTICLES_SQL} {_PLAIN}"),
+    "annotation_file": Query(
+        _annotation_file, f"WITH {LINES_SQL} SELECT row_number() OVER (ORDER BY ligne) + 1 AS ligne, texte FROM judged"
+    ),
+    "suggestion_map": Query(
+        _suggestion_map, f"WITH {DOCUMENTS_SQL} SELECT id, coalesce(array_to_string(b, '|'), '') AS themes FROM docs"
+    ),
+    "batch_report": Query(_batch_report, _REPORT_SQL),
     "legacy_import": Query(
         _legacy,
         f"""SELECT 'https://clients.example/' || o_custkey AS url, 'Order ' || o_orderkey AS titre,
@@ -192,6 +292,19 @@ QUERIES = {
           CASE source WHEN 'click' THEN NULL WHEN 'inconnu' THEN 0.5::DOUBLE ELSE 0.875::DOUBLE END AS score_confiance_ml
         FROM stored""",
     ),
+    "stream_calendar": Query(
+        _stream_calendar,
+        f"""WITH {RECORDS_SQL} SELECT DISTINCT CAST(jour AS VARCHAR) AS date_complete, CAST(year(jour) AS INTEGER) AS annee,
+          CAST(month(jour) AS INTEGER) AS mois, CAST(strftime(jour, '%W') AS INTEGER) AS semaine,
+          CAST(strftime(jour, '%w') AS INTEGER) AS jour_semaine FROM stored WHERE jour IS NOT NULL""",
+    ),
+    "stream_rejects": Query(
+        _stream_rejects,
+        """SELECT 'title missing' AS motif, 'https://events.example/' || event_id AS link, CAST(NULL AS VARCHAR) AS ligne
+        FROM events WHERE event_type = 'signup'
+        UNION ALL SELECT 'unreadable JSON', NULL, '{"link":"https://events.example/' || event_id || '","title'
+        FROM events WHERE event_type = 'signup'""",
+    ),
     "stream_ingest": Query(_stream_facts, f"WITH {RECORDS_SQL} {STORED_SELECT}"),
     "stream_aggregate": Query(_stream_aggregate, _STORED_DAYS),
 }

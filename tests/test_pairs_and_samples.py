@@ -10,6 +10,7 @@ from math import ceil
 import pytest
 
 from gleanery.operators import cooccurrence, sampling
+from gleanery.session import work_dir
 
 from .conftest import as_tuples
 
@@ -36,15 +37,29 @@ def random_rows(seed, items=60, vocabulary=30):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize(("min_support", "top", "seeds"), [(1, 10, 5), (3, 50, 64), (2, 7, 0), (5, None, 64)])
-def test_pairs(spark, monkeypatch, seed, min_support, top, seeds):
-    monkeypatch.setattr(cooccurrence, "CHUNK", 4)
+@pytest.mark.parametrize(("min_support", "top"), [(1, 10), (3, 50), (2, 7), (5, None)])
+@pytest.mark.parametrize("chunk", [4, 256])
+def test_pairs(spark, monkeypatch, seed, min_support, top, chunk):
+    monkeypatch.setattr(cooccurrence, "CHUNK", chunk)
     rows = random_rows(seed)
     df = spark.createDataFrame(rows, "id int, tag string")
-    got = as_tuples(cooccurrence.tag_cooccurrence(df, min_support, top, seeds))
+    got = as_tuples(cooccurrence.tag_cooccurrence(df, min_support, top))
     assert sorted(got, key=lambda r: (-r[2], r[0], r[1])) == brute_pairs(rows, min_support, top)
 
 
+def test_pair_plan_reads_its_rows_twice(spark):
+    """Once to count the tags, once for the baskets."""
+    rows = spark.read.schema("id int, tag string").parquet(_stored(spark))
+    plan = cooccurrence.tag_cooccurrence(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _stored(spark):
+    path = work_dir(spark, "pairs")
+    spark.createDataFrame(random_rows(1), "id int, tag string").write.parquet(path)
+    return path
+
+
 def test_pairs_are_case_sensitive(spark):
     df = spark.createDataFrame([(1, "ia"), (1, "IA"), (1, "ia")], "id int, tag string")
     assert as_tuples(cooccurrence.tag_cooccurrence(df, 1)) == [("IA", "ia", 1)]
