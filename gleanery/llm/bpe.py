@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import SLICE_BYTES, Remembered, gather, slices, texts_of, with_output
 
 #: Words kept per Python worker and generation, and words laid out at a time; both only bound memory.
-CACHE_WORDS = 200_000
-REPLAY_WORDS = 400_000
+CACHE_WORDS = 100_000
+REPLAY_WORDS = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -249,7 +249,7 @@ def _each(column: str, shipped: _Shipped, fields, emit: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shipped)
         for batch in batches:
-            for part in slices(batch, column, 2 * SLICE_BYTES):
+            for part in slices(batch, column):
                 texts = texts_of(part, column)
                 if part.num_rows == 1:
                     ids = bpe.encode(texts[0].as_py())
@@ -257,6 +257,7 @@ def _each(column: str, shipped: _Shipped, fields, emit: Callable) -> Callable:
                 else:
                     ids, ends = bpe.encode_batch(texts)
                 yield with_output(fields, emit(bpe, part, ids, ends))
+            pa.default_memory_pool().release_unused()
 
     return run
 

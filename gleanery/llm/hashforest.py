@@ -35,6 +35,7 @@ GROWTH = 0.7
 #: Largest leaf aimed at, in vectors; a leaf and the queries that reach it are worked on together.
 LEAF = 20_000
 SEED = 20_260
+PLACE = [("tree", pa.int32()), ("leaf", pa.int32()), ("part", pa.int32()), ("entry", pa.int64())]
 
 
 def directions(dimensions: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -59,16 +60,20 @@ def codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
 
 
 class Directory:
-    """The leaves of every tree in order: first string, depth and number of vectors."""
+    """The leaves of every tree in order: first string, depth and number of vectors.
 
-    def __init__(self, leaves: list[tuple[int, int, int, int]], trees: int, bits: int) -> None:
+    A leaf of more than ``largest`` vectors, whose strings are all the same, is worked on in parts.
+    """
+
+    def __init__(self, leaves: list[tuple[int, int, int, int]], trees: int, bits: int, largest: float) -> None:
         self.bits = bits
-        self.starts, self.totals, self.depths = [], [], []
+        self.starts, self.totals, self.depths, self.parts = [], [], [], []
         for t in range(trees):
             own = sorted((prefix << (bits - depth), depth, n) for tree, prefix, depth, n in leaves if tree == t)
             self.starts.append(np.array([s for s, _, _ in own], dtype=np.int64))
             self.depths.append(max((d for _, d, _ in own), default=0))
             self.totals.append(np.concatenate(([0], np.cumsum([n for _, _, n in own], dtype=np.int64))))
+            self.parts.append(np.array([int(-(-n // largest)) for _, _, n in own], dtype=np.int64))
 
     def leaf(self, tree: int, code: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts[tree], code, side="right") - 1
@@ -116,11 +121,12 @@ class HashForest:
         self.entries = materialize(entries.select(F.col("ids")[0].alias("entry"), "h", "v", "ids"), spark, "entries")
         self.n = self.entries.count()
         self.wanted = factor * self.n**growth
+        self.aim = min(LEAF, max(64.0, self.wanted / (2 * trees)))
         self.trees, self.bits = trees, BITS
         self.planes = directions(self.dimensions, trees) if self.n else None
         if self.n:
             self.strings = materialize(self._strings(), spark, "strings")
-            self.directory = Directory(self._leaves(), trees, self.bits)
+            self.directory = Directory(self._leaves(), trees, self.bits, 4 * self.aim)
 
     def _strings(self) -> DataFrame:
         planes = self.spark.sparkContext.broadcast(self.planes)
@@ -137,7 +143,7 @@ class HashForest:
 
     def _leaves(self) -> list[tuple[int, int, int, int]]:
         """(tree, prefix, depth, vectors) of all leaves; too large ones are cut by four more bits, again and again."""
-        aim = min(LEAF, max(64.0, self.wanted / (2 * self.trees)))
+        aim = self.aim
         depth = min(self.bits, max(0, int(np.ceil(np.log2(self.n / aim)))))
         flat = self.strings.select(F.posexplode("codes").alias("tree", "code"))
         leaves, heavy = [], None
@@ -176,12 +182,12 @@ class HashForest:
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             directory, wanted = sent.value
-            fields = [("tree", pa.int32()), ("leaf", pa.int32()), ("entry", pa.int64())]
             for batch in batches:
                 out = []
                 for entry, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out += [(t, leaf, entry) for t, a, b in directory.ascend(code, wanted) for leaf in range(a, b)]
-                yield with_output(fields, [list(c) for c in zip(*out, strict=True)] if out else [[], [], []])
+                    for t, a, b in directory.ascend(code, wanted):
+                        out += [(t, leaf, part, entry) for leaf in range(a, b) for part in range(directory.parts[t][leaf])]
+                yield with_output(PLACE, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 4)
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             directory, _ = sent.value
@@ -190,13 +196,17 @@ class HashForest:
                     continue
                 code = _matrix(batch.column(1), np.int64)
                 leaf = np.stack([directory.leaf(t, code[:, t]) for t in range(trees)], axis=1).astype(np.int32)
+                parts = np.stack([directory.parts[t][leaf[:, t]] for t in range(trees)], axis=1)
                 tree = np.tile(np.arange(trees, dtype=np.int32), len(code))
-                entry = np.repeat(np.asarray(batch.column(0)), trees)
-                yield with_output([("tree", pa.int32()), ("leaf", pa.int32()), ("entry", pa.int64())], [tree, leaf.reshape(-1), entry])
+                entry = np.asarray(batch.column(0))
+                mixed = (entry.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                part = (mixed[:, None] % parts).astype(np.int32)
+                yield with_output(PLACE, [tree, leaf.reshape(-1), part.reshape(-1), np.repeat(entry, trees)])
 
         def scored(index: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
             if not len(index) or not len(reached):
-                return pd.DataFrame({"entry": [], "near": [], "score": []})
+                none = pd.Series(dtype=object)
+                return pd.DataFrame({"entry": pd.Series(dtype="int64"), "near": none, "score": none})
             stored, near = np.stack(index["v"].to_numpy()), index["entry"].to_numpy()
             parts = []
             for start in range(0, len(reached), 256):
@@ -211,13 +221,13 @@ class HashForest:
                 parts.append(pd.DataFrame({"entry": part["entry"], "near": list(found), "score": list(score)}))
             return pd.concat(parts)
 
-        triple = "tree int, leaf int, entry long"
+        triple = "tree int, leaf int, part int, entry long"
         values = self.entries.select("entry", "v")
         reached = asked.join(self.strings, "entry").select("entry", "codes").mapInArrow(visits, triple).join(values, "entry")
         used = reached.select("tree").distinct()
         index = self.strings.select("entry", "codes").mapInArrow(places, triple)
         index = index.join(used, "tree", "left_semi").join(values, "entry")
-        found = index.groupBy("tree", "leaf").cogroup(reached.groupBy("tree", "leaf")).applyInPandas(
+        found = index.groupBy("tree", "leaf", "part").cogroup(reached.groupBy("tree", "leaf", "part")).applyInPandas(
             scored, "entry long, near array<long>, score array<double>"
         )
         pairs = found.select("entry", F.explode(F.arrays_zip("near", "score")).alias("p")).select("entry", "p.near", "p.score")

@@ -34,7 +34,7 @@ from .common import SLICE_BYTES, Remembered, gather, materialize, slices, texts_
 
 MAGIC = b"GLIDF1\n\0"
 #: Runs of text kept per Python worker and generation; it only bounds memory.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 250_000
 #: Words given to the library in one text.
 JOINED_WORDS = 500
 #: Texts per call of the library, whose results are many times larger than the ids taken from them.
@@ -156,11 +156,12 @@ def tokenize(spark: SparkSession, docs: DataFrame, end_id: int, key: str, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(sent)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", 3 * SLICE_BYTES // 2):
                 ids, ends = tokenizer.encode_batch(texts_of(part))
                 bounds = [0, *ends.tolist()]
                 packed = [pack(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield with_output([("key", None), ("ids", pa.binary())], [part.column(0), packed])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType())]))
 

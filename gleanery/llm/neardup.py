@@ -6,8 +6,8 @@ five-word shingles that are smallest under an order of its own; texts that agree
 within the linked distance. With ``SAMPLE`` shingles and ``SKETCHES`` orders, texts with a similarity of 0.8 are
 linked with a probability of 0.96, and of 0.9 with 0.999.
 
-Linked documents are compared by their smallest ``KEPT`` shingle hashes, which for most texts are all of them,
-and are joined at a similarity (Jaccard, over sets of shingles) of at least ``SIMILARITY``. Of each connected
+Linked documents are compared by their smallest ``KEPT`` shingle hashes, which for most texts are all of them
+(for longer ones they estimate the similarity to about 0.01), and are joined at a similarity (Jaccard, over sets of shingles) of at least ``SIMILARITY``. Of each connected
 group the document with the smallest id stays. Equal word sequences are one document from the start.
 
 Defined results: NULL and blank texts are copies of one another; fewer words than a shingle are one shingle; rows
@@ -33,7 +33,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 8
 SAMPLE = 5
-KEPT = 256
+KEPT = 1024
 #: Ids that are broadcast after they were counted (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _ORDERS = np.random.default_rng(97).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -141,7 +141,7 @@ def inflate(file, size: int, at: int) -> tuple[bytes, int] | None:
 
 def candidates(file, size: int, start: int, end: int) -> Iterator[int]:
     """Offsets of the gzip magic that start inside the range."""
-    at = start
+    at, end = start, min(end, size)
     while at < end:
         data = file.read_at(min(_READ, size - at), at)
         found = data.find(MAGIC)
