@@ -160,10 +160,13 @@ def fit(spark: SparkSession, docs: DataFrame, usable: Column | None = None) -> L
     return train([r.text for r in found], [r.lang for r in found])
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred, lang_score and lang_rejected."""
+def predict(
+    spark: SparkSession, docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "lang_"
+) -> DataFrame:
+    """All columns of ``docs`` with lang_pred, lang_score and lang_rejected, or such names behind another prefix."""
     sent = spark.sparkContext.broadcast(model)
-    fields = [(n, None) for n in docs.columns] + [("lang_pred", pa.string()), ("lang_score", pa.float64()), ("lang_rejected", pa.bool_())]
+    added = T.StructType.fromDDL(f"{prefix}pred string, {prefix}score double, {prefix}rejected boolean")
+    fields = [(n, None) for n in docs.columns] + list(zip(added.names, (pa.string(), pa.float64(), pa.bool_()), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,5 +174,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: st
                 labels, score, rejected = sent.value.predict(texts_of(part, text).to_pylist())
                 yield with_output(fields, [*part.columns, labels, score, rejected])
 
-    added = T.StructType.fromDDL("lang_pred string, lang_score double, lang_rejected boolean")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))

@@ -50,19 +50,19 @@ def remove_boilerplate(
     """All columns of ``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_dropped`` appended."""
     bad = boilerplate(spark, docs, host, text, ratio, min_pages)
     small = bad.limit(broadcast_lines + 1).count() <= broadcast_lines
-    by_host = bad.groupBy("host").agg(F.collect_list("line").alias("_bad_lines")).withColumnRenamed("host", "_bad_host")
-    joined = docs.join(F.broadcast(by_host) if small else by_host, docs[host] == F.col("_bad_host"), "left")
+    by_host = bad.groupBy("host").agg(F.collect_list("line").alias("_dedup_bad")).withColumnRenamed("host", "_dedup_host")
+    joined = docs.join(F.broadcast(by_host) if small else by_host, docs[host] == F.col("_dedup_host"), "left")
     lines = F.split(docs[text], "\n")
-    hit = F.array_intersect(F.transform(lines, _key), F.col("_bad_lines"))
-    staged = joined.withColumns({"_lines": lines, "_hit": hit})
-    kept = F.filter("_lines", lambda line: ~F.array_contains(F.col("_hit"), _key(line)))
-    staged = staged.withColumn("_kept", F.when(F.size("_hit") > 0, kept).otherwise(F.col("_lines")))
-    left = F.exists("_kept", lambda line: F.btrim(line, F.lit(_BLANKS)) != "")
-    changed = (F.size("_kept") < F.size("_lines")) & left
-    columns = [F.when(changed, F.array_join("_kept", "\n")).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns]
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+    hit = F.array_intersect(F.transform(lines, _key), F.col("_dedup_bad"))
+    staged = joined.withColumns({"_dedup_lines": lines, "_dedup_hit": hit})
+    kept = F.filter("_dedup_lines", lambda line: ~F.array_contains(F.col("_dedup_hit"), _key(line)))
+    staged = staged.withColumn("_dedup_kept", F.when(F.size("_dedup_hit") > 0, kept).otherwise(F.col("_dedup_lines")))
+    left = F.exists("_dedup_kept", lambda line: F.btrim(line, F.lit(_BLANKS)) != "")
+    changed = (F.size("_dedup_kept") < F.size("_dedup_lines")) & left
+    columns = [F.when(changed, F.array_join("_dedup_kept", "\n")).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns]
+    n_lines = F.coalesce(F.size("_dedup_lines"), F.lit(0))
     return staged.select(
         *columns,
         F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(changed, F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(changed, F.size("_dedup_lines") - F.size("_dedup_kept")).otherwise(0).cast("long").alias("n_dropped"),
     )
