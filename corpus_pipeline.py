@@ -13,8 +13,8 @@ from gleanery.sources.tables import table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model is fitted on the labels among them."""
     model = langid.fit(spark, docs)
-    found = langid.predict(spark, docs, model)
-    return found.where(~F.col("lang_rejected")).select(*[found[c] for c in docs.columns])
+    found = langid.predict(spark, docs, model, prefix="_language_")
+    return found.where(~F.col("_language_rejected")).select(*[found[c] for c in docs.columns])
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
