@@ -45,9 +45,9 @@ def boilerplate(spark: SparkSession, docs: DataFrame, host: str, text: str, rati
 
 def remove_boilerplate(
     spark: SparkSession, docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-    min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES,
+    min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, counts: bool = True,
 ) -> DataFrame:
-    """All columns of ``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_dropped`` appended."""
+    """All columns of ``docs`` with the kept lines as ``text``; ``n_lines`` and ``n_dropped`` follow if asked."""
     bad = boilerplate(spark, docs, host, text, ratio, min_pages)
     small = bad.limit(broadcast_lines + 1).count() <= broadcast_lines
     by_host = bad.groupBy("host").agg(F.collect_list("line").alias("_dedup_bad")).withColumnRenamed("host", "_dedup_host")
@@ -60,6 +60,8 @@ def remove_boilerplate(
     left = F.exists("_dedup_kept", lambda line: F.btrim(line, F.lit(_BLANKS)) != "")
     changed = (F.size("_dedup_kept") < F.size("_dedup_lines")) & left
     columns = [F.when(changed, F.array_join("_dedup_kept", "\n")).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns]
+    if not counts:
+        return staged.select(*columns)
     n_lines = F.coalesce(F.size("_dedup_lines"), F.lit(0))
     return staged.select(
         *columns,
