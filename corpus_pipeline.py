@@ -19,7 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that fill their source; n_chars follows the text."""
-    found = linededup.remove_boilerplate(spark, docs).drop("n_lines", "n_dropped")
+    found = linededup.remove_boilerplate(spark, docs, counts=False)
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
