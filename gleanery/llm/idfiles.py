@@ -43,7 +43,7 @@ ASKED_TEXTS = 16
 READ_IDS = 1 << 21
 #: Ids coded in one call while writing; whole blocks.
 RUN_IDS = 64 * huffman.BLOCK_IDS
-_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
 _MARKED = re.compile(rb"[a-z]+[.,;:!?]")
 
 
@@ -148,56 +148,66 @@ def _tokenizer(sent) -> WordTokenizer:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, end_id: int, key: str, text: str, path: str) -> DataFrame:
-    """``key`` and packed ``ids`` of each whole text, with ``end_id`` at the end."""
+    """``key`` and packed ``ids`` of each whole text, ``end_id`` last; and per task a row with its ``counts`` of ids."""
     with open(path, "rb") as file:
         sent = spark.sparkContext.broadcast(file.read())
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
+    fields = [("key", None), ("ids", pa.binary()), ("counts", pa.binary())]
+    kind = T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(sent)
+        tokenizer, held, keys = _tokenizer(sent), np.zeros(1, dtype=np.int64), None
         for batch in batches:
             for part in slices(batch, "text", 3 * SLICE_BYTES // 2):
                 ids, ends = tokenizer.encode_batch(texts_of(part))
-                bounds = [0, *ends.tolist()]
-                packed = [pack(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield with_output([("key", None), ("ids", pa.binary())], [part.column(0), packed])
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                held = _added(held, np.bincount(ids, minlength=1))
+                bounds = [0, *(ends + np.arange(1, len(ends) + 1)).tolist()]
+                packed = [pack(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                keys = part.column(0)
+                yield with_output(fields, [keys, packed, [None] * len(packed)])
             pa.default_memory_pool().release_unused()
+        if keys is not None:
+            yield with_output(fields, [pa.nulls(1, keys.type), [None], [held.astype("<i8").tobytes()]])
+
+    return rows.mapInArrow(run, kind)
+
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType())]))
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = np.zeros(max(len(a), len(b)), dtype=np.int64)
+    total[: len(a)] = a
+    total[: len(b)] += b
+    return total
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Staged form of a document's ids: their count, and their byte planes (the upper ones only if needed)."""
-    planes = ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T
-    used = 4 if planes[2:].any() else 2
-    return struct.pack("<I", len(ids)) + _ZSTD.compress(planes[:used].tobytes())
+    """Staged form of a document's ids: their count, their width in bytes, and the ids through a fast coder."""
+    width = 4 if len(ids) and ids.max() > 0xFFFF else 2
+    return struct.pack("<IB", len(ids), width) + _ZSTD.compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", packed)
-    planes = np.frombuffer(_UNZSTD.decompress(packed[4:], max_output_size=4 * n), dtype=np.uint8).reshape(-1, n)
-    ids = np.zeros((n, 4), dtype=np.uint8)
-    ids[:, : len(planes)] = planes.T
-    return ids.reshape(-1).view("<u4")
+    n, width = struct.unpack_from("<IB", packed)
+    raw = _UNZSTD.decompress(packed[5:], max_output_size=max(1, width * n))
+    return np.frombuffer(raw, dtype=f"<u{width}").astype(np.uint32)
 
 
 def global_counts(encoded: DataFrame) -> np.ndarray:
-    """Occurrences of every id; tasks send one row per id they met, the driver gets one per vocabulary id."""
+    """Occurrences of every id, from one row of counts per task; the driver gets a row per vocabulary id."""
 
     def run(batches):
         held = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            ids = [unpack(p) for p in batch.column(0).to_pylist()]
-            found = np.bincount(np.concatenate(ids)) if ids else held[:0]
-            if len(found) > len(held):
-                held = np.pad(held, (0, len(found) - len(held)))
-            held[: len(found)] += found
+            for counts in batch.column(0).to_pylist():
+                held = _added(held, np.frombuffer(counts, dtype="<i8"))
         at = np.flatnonzero(held)
         yield with_output([("id", pa.int64()), ("n", pa.int64())], [at, held[at]])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
-    for r in rows:
+    rows = encoded.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long")
+    found = rows.groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r.id for r in found), default=0) + 1, dtype=np.int64)
+    for r in found:
         counts[r.id] = r.n
     return counts
 
@@ -259,7 +269,7 @@ def write(spark: SparkSession, encoded: DataFrame, counts: np.ndarray, folder: s
             rows = [TaskContext.get().partitionId()], [writer.path], [writer.n_ids], [writer.size]
             yield with_output([("part", pa.int32()), ("path", pa.string()), ("ids", pa.int64()), ("size", pa.int64())], [*rows])
 
-    ordered = encoded.repartitionByRange(F.col("key").asc_nulls_first())
+    ordered = encoded.where("ids IS NOT NULL").select("key", "ids").repartitionByRange(F.col("key").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
     return ordered.mapInArrow(run, "part int, path string, ids long, size long")
 
