@@ -41,7 +41,7 @@ def _page_after(spark: SparkSession, folder: str) -> DataFrame:
 
 def _day(spark: SparkSession, folder: str) -> DataFrame:
     a = articles(spark, folder)
-    return a.where(in_day(F.col("date_article"), "1996-06-15")).select("id", "url", "date_article")
+    return a.where(in_day(F.col("date_article"), "1995-01-05")).select("id", "url", "date_article")
 
 
 def _total(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ QUERIES = {
     ),
     "day_slice": Query(
         _day,
-        _sql("SELECT id, url, date_article FROM articles WHERE date_article >= '1996-06-15' AND date_article < '1996-06-16'"),
+        _sql("SELECT id, url, date_article FROM articles WHERE date_article >= '1995-01-05' AND date_article < '1995-01-06'"),
     ),
     "search_total": Query(
         _total,
