@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import SLICE_BYTES, Remembered, gather, slices, texts_of, with_output
 
 #: Words kept per Python worker and generation, and words laid out at a time; both only bound memory.
-CACHE_WORDS = 100_000
-REPLAY_WORDS = 150_000
+CACHE_WORDS = 80_000
+REPLAY_WORDS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,14 +74,14 @@ class ByteBpe:
         n = len(data)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         ends = np.cumsum(sizes)
-        symbol = self.single[data]
+        symbol = self.single[data].astype(np.int32)
         alive = np.ones(n, dtype=bool)
-        nxt = np.arange(1, n + 1, dtype=np.int64)
-        prv = np.arange(-1, n - 1, dtype=np.int64)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         filled = ends[sizes > 0]
         nxt[filled - 1] = -1
         prv[filled - sizes[sizes > 0]] = -1
-        held = np.full(n, -1, dtype=np.int64)  # rank of the pair that starts here
+        held = np.full(n, -1, dtype=np.int32)  # rank of the pair that starts here
         open_ = np.flatnonzero(nxt >= 0)
         held[open_] = self.first[data[open_].astype(np.int64) * 256 + data[open_ + 1]]
         index: dict[int, list[np.ndarray]] = {}
@@ -103,7 +103,7 @@ class ByteBpe:
                     index[r] = [positions[start:stop]]
                     heappush(heap, r)
 
-        post(held, np.arange(n, dtype=np.int64))
+        post(held, np.arange(n, dtype=np.int32))
         while heap:
             r = heappop(heap)
             lists = index.pop(r)
@@ -133,7 +133,7 @@ class ByteBpe:
             back = prv[at]
             left = back >= 0
             b = back[left]
-            keys = np.concatenate((r << 32 | symbol[y], symbol[b] << 32 | r))
+            keys = np.concatenate((r << 32 | symbol[y].astype(np.int64), symbol[b].astype(np.int64) << 32 | r))
             found = np.searchsorted(self.pair_keys, keys)
             made = np.where(self.pair_keys[found] == keys, self.pair_ranks[found], -1)
             places = np.concatenate((x, b))
@@ -201,6 +201,7 @@ class ByteBpe:
             index = index[keep]
         flat = np.frombuffer(b"".join(encoded), dtype="<u4")
         offsets = np.concatenate(([0], np.cumsum([len(e) // 4 for e in encoded])))
+        del parts, spelled, chunks, encoded
         ids, ends = gather(flat, offsets, index)
         return ids, ends[bounds[1:] - 1] if len(index) else np.zeros(len(texts), dtype=np.int64)
 
@@ -249,7 +250,7 @@ def _each(column: str, shipped: _Shipped, fields, emit: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shipped)
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, SLICE_BYTES // 2):
                 texts = texts_of(part, column)
                 if part.num_rows == 1:
                     ids = bpe.encode(texts[0].as_py())
