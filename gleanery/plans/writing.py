@@ -220,7 +220,7 @@ def _stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
     for attempt in ("a", "b"):  # a lost checkpoint: every batch is replayed under its number
         stream = event_stream(spark, f"{root}/incoming")
         start_ingest(stream, store, f"{root}/progress-{attempt}", lambda: CLOCK, f"{root}/refus").awaitTermination()
-    return spark.read.schema("motif string, link string, ligne string").json(f"{root}/refus")
+    return spark.read.schema("motif string, link string, ligne string").json(f"{root}/refus").drop("lot")
 
 
 def _stream_facts(spark: SparkSession, folder: str) -> DataFrame:
