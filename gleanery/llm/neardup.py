@@ -6,6 +6,9 @@ five-word shingles that are smallest under an order of its own; texts that agree
 within the linked distance. With ``SAMPLE`` shingles and ``SKETCHES`` orders, texts with a similarity of 0.8 are
 linked with a probability of 0.96, and of 0.9 with 0.999.
 
+Documents of a bucket (equal or linked fingerprints) are first compared with one of them; then all pairs whose ends
+are not connected by that are compared, so no pair of a bucket stays unverified but where it changes no group.
+
 Linked documents are compared by their smallest ``KEPT`` shingle hashes, which for most texts are all of them
 (for longer ones they estimate the similarity to about 0.01), and are joined at a similarity (Jaccard, over sets of shingles) of at least ``SIMILARITY``. Of each connected
 group the document with the smallest id stays. Equal word sequences are one document from the start.
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, texts_of, with_output
 from .components import components
-from .simhash import fold, links, shingle_hashes
+from .simhash import _forest, fold, links, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 8
 SAMPLE = 5
 KEPT = 1024
+#: Documents of a bucket that are compared with one another in a group; larger buckets are worked on by pairs of blocks.
+BLOCK = 512
 #: Ids that are broadcast after they were counted (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _ORDERS = np.random.default_rng(97).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,29 +88,31 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def candidates(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of documents that a chain of links connects; ``prints`` has (doc_id, prints).
+def buckets(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """(bucket, doc_id): the documents that share a fingerprint in a space, or that a chain of links connects there.
 
-    In each space every document hangs on one of its fingerprint's documents, the first in an order that the
-    space sets by hash, and these hang on one another as the fingerprints are linked.
+    ``prints`` has (doc_id, prints). Only buckets of two documents at least are kept.
     """
+    node = lambda fp: F.xxhash64("space", fp)
     flat = prints.select("doc_id", F.posexplode("prints").alias("space", "fp"))
-    flat = flat.withColumn("first", F.struct(F.xxhash64("doc_id", "space").alias("order"), "doc_id"))
-    heads = flat.groupBy("space", "fp").agg(F.min("first").alias("first")).select("space", "fp", F.col("first.doc_id").alias("head"))
-    heads = materialize(heads, spark, "heads")
-    own = flat.join(heads, ["space", "fp"]).select(F.col("doc_id").alias("x"), F.col("head").alias("y"))
-    edges = links(spark, heads.select("space", "fp"))
-    for side in ("a", "b"):
-        named = heads.select("space", F.col("fp").alias(side), F.col("head").alias(f"head_{side}"))
-        edges = edges.join(named, ["space", side])
-    pairs = own.unionByName(edges.select(F.col("head_a").alias("x"), F.col("head_b").alias("y")))
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return materialize(pairs.distinct(), spark, "pairs")
-
-
-def verified(spark: SparkSession, pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), spark, "compared")
-    kept = table.select("doc_id", "kept").join(_sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = materialize(flat.select("space", "fp").distinct(), spark, "nodes")
+    edges = links(spark, nodes).select(node("a").alias("a"), node("b").alias("b"))
+    chained = components(spark, edges).select(F.col("node").alias("own"), "root")
+    named = flat.select("doc_id", node("fp").alias("own")).join(_sized(chained), "own", "left")
+    named = materialize(named.select(F.coalesce("root", "own").alias("bucket"), "doc_id").distinct(), spark, "buckets")
+    shared = named.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    return materialize(named.join(shared, "bucket").select("bucket", "doc_id", "members"), spark, "shared")
+
+
+def headed(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of every bucket's documents with one of them, which a hash sets."""
+    first = F.struct(F.xxhash64("doc_id", "bucket").alias("order"), "doc_id")
+    heads = members.groupBy("bucket").agg(F.min(first).alias("first")).select("bucket", F.col("first.doc_id").alias("head"))
+    pairs = members.join(heads, "bucket").where("doc_id <> head")
+    return pairs.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, kept: DataFrame, least: float) -> DataFrame:
     rows = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("kept").alias("kept_a")), "a")
     rows = rows.join(kept.select(F.col("doc_id").alias("b"), F.col("kept").alias("kept_b")), "b")
 
@@ -118,6 +125,69 @@ def verified(spark: SparkSession, pairs: DataFrame, table: DataFrame, least: flo
     return rows.select("a", "b", "kept_a", "kept_b").mapInArrow(run, "a long, b long")
 
 
+def estimates(kept: list[bytes], roots: np.ndarray, first: np.ndarray, second: np.ndarray, low: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Place, later places and their similarities, for every pair of ``first`` and ``second`` with different roots.
+
+    Pairs below ``low`` are left out; a pair that lies in both lists comes once.
+    """
+    sets = [np.unique(np.frombuffer(k, dtype="<u4")) for k in kept]
+    sizes = np.array([len(s) for s in sets])
+    cut = np.array([len(k) == 4 * KEPT for k in kept])
+    vocabulary, flat = np.unique(np.concatenate([sets[j] for j in second]), return_inverse=True)
+    ends = np.cumsum(sizes[second])
+    starts = ends - sizes[second]
+    mark = np.zeros(len(vocabulary), dtype=bool)
+    twice = set(first.tolist()) & set(second.tolist())
+    for i in first.tolist():
+        at = np.searchsorted(vocabulary, sets[i])
+        known = at < len(vocabulary)
+        known[known] = vocabulary[at[known]] == sets[i][known]
+        mark[:] = False
+        mark[at[known]] = True
+        sums = np.concatenate(([0], np.cumsum(mark[flat])))
+        common = sums[ends] - sums[starts]
+        use = (roots[second] != roots[i]) & ((second > i) if i in twice else True)
+        share = common / np.maximum(1, sizes[second] + sizes[i] - common)
+        sketch = cut[second] | cut[i]
+        use &= np.where(sketch, common / KEPT, share) >= low
+        for k in np.flatnonzero(use & sketch):
+            share[k] = similarity(kept[i], kept[second[k]])
+        use &= share >= low
+        if use.any():
+            yield i, second[use], share[use]
+
+
+def met(members: DataFrame, kept: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Verified pairs (a, b) that connect what the buckets' documents connect beyond their ``roots`` (doc_id, root).
+
+    Every document of a bucket meets every other of another root: a bucket is cut into blocks of some ``BLOCK``
+    documents by hash, and every two blocks are compared in a group of their own.
+    """
+    rows = members.join(roots.select("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.join(mixed.select("bucket"), "bucket", "left_semi")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root")
+    rows = rows.join(kept.select("doc_id", "kept"), "doc_id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, roots = (np.asarray(group.column(c).combine_chunks()) for c in ("doc_id", "root"))
+        block, i, j = (np.asarray(group.column(c).combine_chunks()) for c in ("block", "i", "j"))
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        if len(first) and len(second):
+            for place, others, _ in estimates(group.column("kept").to_pylist(), roots, first, second, least):
+                a.append(np.full(len(others), place))
+                b.append(others)
+        label = _forest(np.concatenate(a), np.concatenate(b), len(ids))
+        hung = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": ids[hung], "b": ids[label[hung]]})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def groups(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``root`` (smallest id of its group) of every document that is not its group's root."""
     table = materialize(described(docs, key, text), spark, "described")
@@ -125,8 +195,14 @@ def groups(spark: SparkSession, docs: DataFrame, least: float = SIMILARITY, key:
     equal = materialize(table.select("doc_id", "words").join(equal, "words").select("doc_id", "root").distinct(), spark, "equal")
     heads = equal.where("doc_id = root").select("doc_id")
     prints = table.select("doc_id", "prints").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = candidates(spark, prints)
-    joined = components(spark, verified(spark, pairs, table, least))
+    members = buckets(spark, prints)
+    ids = members.select("doc_id").distinct()
+    kept = table.select("doc_id", "kept").join(_sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = materialize(kept, spark, "compared")
+    sure = materialize(verified(headed(members), kept, least), spark, "sure")
+    joined = components(spark, sure)
+    more = met(members, kept, joined.select(F.col("node").alias("doc_id"), "root"), least)
+    joined = components(spark, sure.unionByName(more))
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("higher"))
     found = equal.join(joined, "root", "left").select("doc_id", F.coalesce("higher", "root").alias("root"))
     return materialize(found.where("doc_id <> root").distinct(), spark, "groups")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
@@ -109,3 +110,22 @@ def test_run_applies_all_stages(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert rows.keys() == texts.keys() and len(rows) < 200
     assert all(rows[k].ids == library.encode_ordinary(t) and rows[k].n_tokens == len(rows[k].ids) for k, t in texts.items())
+
+
+@pytest.mark.parametrize(("copies", "block"), [(1000, neardup.BLOCK), (150, 40)])
+def test_a_text_and_its_copies_are_joined_over_the_text(spark, make_docs, monkeypatch, copies, block):
+    """Copies with edits of their own: alike to the text, not to one another."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for i in range(copies):
+        other = list(base)
+        for k in rng.sample(range(5, 195), 3):
+            other[k] = f"v{i}_{k}"
+        texts.append(" ".join(other))
+    assert all(alike(t, texts[0]) >= 0.8 for t in texts)
+    sample = rng.sample(range(1, copies + 1), 100)
+    assert sum(alike(texts[i], texts[j]) >= 0.8 for i in sample for j in sample if i < j) < 100
+    kept = {r.doc_id for r in neardup.one_of_each(spark, make_docs(*texts)).collect()}
+    assert 0 in kept and len(kept) <= 0.03 * copies
