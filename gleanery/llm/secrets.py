@@ -4,7 +4,8 @@ Candidates are long unbroken runs of letters and digits, and values assigned to
 described by its length, the transitions between kinds of characters, how much of it dictionary words cover,
 its likeness to a path, and the words beside it; the forest is trained from labelled findings. ``known_labels``
 labels findings whose format decides: issued key formats and assigned random values against identifiers, paths
-and words. The format itself is no feature.
+and words. Whatever fits none of them is not labelled, and the forest scores it untaught. The format itself is no
+feature. Punctuation that ends an assigned value is not part of it, down to ``NAMED_LETTERS`` characters.
 
 Defined results: NULL and empty texts have no candidates; repeated rows repeat their findings; equal spans are
 found once; without findings of both labels nothing is removed and the score is 1; runs of any length are one
@@ -37,6 +38,9 @@ FEATURES = [
     "covered", "longest_word", "slashes", "dots", "dashes", "extension", "quoted", "assigned",
     *[f"near_{w}" for w in TELLING], "word_before", "word_after",
 ]
+#: Shortest assigned value, and the characters that may follow one without a space.
+NAMED_LETTERS = 6
+_BEHIND = ";,.:)]}>`"
 #: Characters before and after a candidate in which neighbouring words are looked for.
 NEAR = 48
 #: Shortest dictionary word, and the vocabulary it comes from.
@@ -48,6 +52,8 @@ FIT_FINDINGS = 50_000
 # Formats that issuers publish, and formats of identifiers that are no secrets.
 SECRET_FORMATS = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"sk_live_[A-Za-z0-9]{24,}", r"xox[abp]-[A-Za-z0-9-]{10,}", r"AIza[0-9A-Za-z_\-]{35}"]
 PLAIN_FORMATS = [r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"[A-Za-z_\-]+", r"[0-9\-+/]+", r"[A-Za-z0-9_\-]*(?:/[A-Za-z0-9_\-]*)+"]
+#: Share covered by dictionary words from which a value of no listed format counts as words.
+WORDY = 0.7
 ASSIGNED_FORMAT = r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_\-]{12,}={0,2}"
 
 
@@ -101,7 +107,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
     """Start and end (in characters) of every candidate, and whether a name is assigned to it."""
     for found in _CANDIDATE.finditer(text):
         named = found.group("value") is not None
-        yield (*found.span("value" if named else "run"), named)
+        start, end = found.span("value" if named else "run")
+        if named:
+            end = start + max(NAMED_LETTERS, len(text[start:end].rstrip(_BEHIND)))
+        yield start, end, named
 
 
 def scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -127,7 +136,7 @@ def scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
 
 
 def known_labels(findings: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 for issued formats and assigned random values, 0 for plain formats, else NULL."""
+    """Adds ``label``: 1 for issued formats and assigned random values, 0 for plain formats and words, else NULL."""
     whole = lambda formats: "^(?:" + "|".join(formats) + ")$"
     value = F.col("value")
     label = (
@@ -135,7 +144,7 @@ def known_labels(findings: DataFrame) -> DataFrame:
         .when(value.rlike(whole(PLAIN_FORMATS)), 0)
         .when(F.col("assigned") & value.rlike(whole([ASSIGNED_FORMAT])), 1)
         .when(~F.col("assigned") & value.rlike("[0-9]"), F.lit(None))
-        .otherwise(0)
+        .when(F.col("features")[FEATURES.index("covered")] >= WORDY, 0)
     )
     return findings.withColumn("label", label.cast("int"))
 

@@ -63,3 +63,34 @@ def test_query(spark):
     issued = [r.secret for r in rows if re.fullmatch("[0-9a-f]{40}", r.value)]
     plain = [r.secret for r in rows if r.value.isalpha() and r.value.islower()]
     assert issued and plain and sum(issued) / len(issued) > 0.95 and sum(plain) / len(plain) < 0.05
+
+
+def test_only_formats_that_decide_are_labelled(spark):
+    key = "AKIA" + "Q7" * 8
+    given = {
+        "password=Xk9$mP2!vL7q": ("Xk9$mP2!vL7q", None),
+        "token: eyJhbGci.eyJzdWIi.c2ln9x": ("eyJhbGci.eyJzdWIi.c2ln9x", None),
+        "secret=a8f3k2": ("a8f3k2", None),
+        f"key={key};": (key, 1),
+        "key=9f8e7d6c5b4a39281706,": ("9f8e7d6c5b4a39281706", 1),
+        "auth = something": ("something", 0),
+        "auth = manager.settings.controller": ("manager.settings.controller", 0),
+        "pwd=abc12;;;": ("abc12;", None),
+    }
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    rows = secrets.known_labels(secrets.scan(spark, docs)).orderBy("doc_id").collect()
+    assert [(r.value, r.label) for r in rows] == list(given.values())
+
+
+def test_assigned_passwords_with_symbols_are_kept(spark):
+    rng, texts = random.Random(4), []
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ23456789"
+    for i in range(300):
+        noise = "".join(rng.choice(letters) for _ in range(rng.randint(12, 40)))
+        symbols = "".join(rng.choice(letters) + rng.choice("$!%&*" + letters) for _ in range(6))
+        texts.append([f"note token = {noise}9a; end", f"see understandingsettings{i % 7} and {'communication' * 2} end", f"login password={symbols}$4 now"][i % 3])
+    rows = secrets.find_secrets(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = [r.secret for r in rows if r.doc_id % 3 == 2 and r.assigned]
+    assert len(kept) == 100 and sum(kept) >= 95
+    words = [r.secret for r in rows if r.value.isalpha() and r.value.islower()]
+    assert words and not any(words)
