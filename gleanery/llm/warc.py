@@ -1,11 +1,12 @@
 """WARC archives: one gzip member per record, repeated payloads as revisits, and a reader that splits any file.
 
 Reading: a task gets a byte range, looks for the gzip magic in it, and takes a candidate only if its header
-inflates to a WARC header, its checksum holds, and another member or the end of the file follows. It owns every
-record that starts inside its range, whatever the range cuts. A run of candidates that ends before the range
-does, in bytes that are no member, lay inside a stored payload and is passed over; so archives nested in a
-payload are not taken for records as long as they are smaller than a range. A member that fails to inflate
-loses only itself: the search goes on behind it.
+inflates to a WARC header and its checksum holds. It owns every record that starts inside its range, whatever the
+range cuts. A range's first run of members that ends before the range does is either nested in a stored payload or
+followed by damaged or foreign bytes; the file is then read from its start for a sound member that reaches across the
+run, and only such a run is passed over. So archives nested in a sound payload are not taken for records as long as
+they are smaller than a range. A member that fails to inflate loses only itself: the search goes on behind it, and
+records stored in its payload count as records.
 
 Defined results: a NULL page is the empty payload; a NULL url has no target header; rows that share the largest
 page id and the payload are all responses; a NULL page id revisits its twins if any has an id; equal rows give
@@ -155,37 +156,67 @@ def _follows(file, size: int, at: int) -> bool:
     return at >= size or file.read_at(min(len(MAGIC), size - at), at) == MAGIC
 
 
-def first_member(file, size: int, start: int, end: int) -> int | None:
-    """Where the range's first own record starts."""
+def span(file, size: int, at: int) -> int | None:
+    """The offset behind the sound gzip member at ``at``, whatever it holds; None if there is none."""
+    unpacker, position, data = zlib.decompressobj(31), at, b""
+    while not unpacker.eof:
+        if not data:
+            data = file.read_at(min(_READ, size - position), position)
+            position += len(data)
+            if not data:
+                return None
+        try:
+            unpacker.decompress(data, _READ)
+        except zlib.error:
+            return None
+        data = unpacker.unconsumed_tail
+    return position - len(unpacker.unused_data)
+
+
+def enclosing(file, size: int, at: int) -> int | None:
+    """The offset behind the sound member that starts before ``at`` and reaches across it; None if there is none."""
+    beyond = 0
+    for start in candidates(file, size, 0, at):
+        if start >= beyond and (stop := span(file, size, start)) is not None:
+            if stop > at:
+                return stop
+            beyond = stop
+    return None
+
+
+def first_member(file, size: int, start: int, end: int, outer: bool) -> int | None:
+    """Where the range's first own record starts; ``outer`` if no member is known to reach across ``start``."""
     beyond = start
     for at in candidates(file, size, start, end):
         if at < beyond:
             continue
-        here = at
-        while here < end:
-            found = inflate(file, size, here)
-            if found is None:
-                break
-            here = found[1]
-            if here < size and not _follows(file, size, here):
-                here = -here  # a run that ends in other bytes: nested in a payload
-                break
-        if here < 0:
-            beyond = -here
-        elif here > at:
+        if inflate(file, size, at) is None:
+            beyond = span(file, size, at) or beyond  # another gzip member is passed over whole
+            continue
+        if outer:
+            return at
+        here, run = at, at
+        while run is not None and here < min(end, size):
+            run = span(file, size, here)
+            here = run or here
+        if run is not None:
+            return at  # the run goes on behind the range, or ends with the file
+        stop = enclosing(file, size, at)
+        if stop is None:
             return at
+        beyond, outer = stop, True
     return None
 
 
 def records(file, size: int, start: int, end: int, path: str) -> Iterator[tuple]:
-    at = first_member(file, size, start, end)
+    at = first_member(file, size, start, end, start == 0)
     while at is not None and at < min(end, size):
         found = inflate(file, size, at)
         if found is None:
-            at = first_member(file, size, at + 1, end)
+            at = first_member(file, size, at, end, True)
             continue
         yield parse(found[0], path, at)
-        at = found[1] if _follows(file, size, found[1]) else first_member(file, size, found[1], end)
+        at = found[1] if _follows(file, size, found[1]) else first_member(file, size, found[1], end, True)
 
 
 def _open(path: str):

@@ -100,3 +100,24 @@ def test_other_gzip_members_are_passed_over():
 def test_query(spark, folder):
     got = spark_rows(QUERIES["op9_warc"](spark, folder))
     assert difference(got, sql_rows(connect(folder), OP9_SQL)) is None
+
+
+def test_damaged_magic_loses_one_record():
+    parts = members(6)
+    parts[3] = b"\x00\x00\x00" + parts[3][3:]
+    data = b"".join(parts)
+    for split in (100, 300, 700, len(data)):
+        assert by_ranges(data, split) == [0, 1, 2, 4, 5]
+
+
+def test_trailing_and_inner_zeros_lose_nothing():
+    data = b"".join(members(3)) + bytes(500) + b"".join(members(2)) + bytes(700)
+    for split in (100, 300, 777, len(data)):
+        assert by_ranges(data, split) == [0, 1, 2, 0, 1]
+
+
+def test_archive_inside_another_gzip_member_is_not_read():
+    stored = gzip.compress(b"no record" + b"".join(members(4)) + b"end", compresslevel=0)
+    data = b"".join(members(2)) + stored + b"".join(members(3)) + bytes(50)
+    for split in (len(stored) + 10, 5000, len(data)):
+        assert by_ranges(data, split) == [0, 1, 0, 1, 2]
