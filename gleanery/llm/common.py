@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,20 @@ def is_bucket(key: Column, buckets: int, remainder: int) -> Column:
     return F.coalesce(crc_bucket(key, buckets) == remainder, F.lit(False))
 
 
+def hash_share(key: Column) -> Column:
+    """Where the key's hash lies among all hashes, from 0 to below 1: the order of ``xxhash64`` as a share."""
+    return F.xxhash64(key).cast("double") / float(1 << 64) + 0.5
+
+
+def below_share(key: Column, bound: int, n: Column | int) -> Column:
+    """Leaves some two times ``bound`` of ``n`` keys, those of the lowest hashes, so that few are left to be ranked.
+
+    The ``bound`` lowest are among them but for a chance that vanishes with the bound (below 1e-50 from 500 on).
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+    return hash_share(key) * n < 2.0 * bound + 20
+
+
 def materialize(df: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
     """Writes to the shared folder and reads back: lineage is cut and lost executors cost nothing."""
     path = work_dir(spark, purpose)
@@ -32,6 +47,22 @@ def materialize(df: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps or returns memory by itself
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def tidy() -> None:
+    """Returns memory that a worker has freed to the system, since workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes in ``column``; a longer single value is a run of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -75,6 +106,10 @@ class Remembered(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def missing(self, keys: list) -> list:
         """The distinct keys that must be computed; the others stay or become current. Call it once per batch."""
         if len(self) > self.limit:

@@ -21,15 +21,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .decontam import _sized
 
 #: Everything that is no term character: left are the letters a-z, and all of Unicode beyond ASCII.
@@ -39,9 +41,13 @@ SHARE = 1_000_000_000
 TOP = 10
 SOURCES = 128
 TERMS = 1024
-#: Distinct chunks a task holds before it hands its counts on.
-HELD = 150_000
-#: Bytes of a text that are split at a time.
+#: Bytes of text whose chunks are folded together.
+RUN_BYTES = 16 << 20
+#: Bits that tell which chunks a second reading is after (2 MB to each task).
+BITS = 1 << 24
+#: Terms of a chunk that are counted within its row.
+FEW = 32
+#: Bytes of a longer text that are split at a time.
 PIECE = 1 << 20
 
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -59,57 +65,89 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:] if start else text
 
 
+def _distinct(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows: their distinct chunks, and for every chunk of every document its row, its number among them and how
+    often it stands there."""
+    texts = batch.column("text")
+    for k, part in _runs(texts):
+        if len(part) == 1 and pc.binary_length(part)[0].as_py() > RUN_BYTES:
+            found: Counter = Counter()
+            for piece in _pieces(part[0].as_py().encode()):
+                found.update(piece.split())
+            n = len(found)
+            yield pa.array([*found], pa.string()), np.full(n, k), np.arange(n), np.array([*found.values()], dtype=np.int64)
+            continue
+        split = pc.ascii_split_whitespace(part)
+        coded = split.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(part), dtype=np.int64), np.diff(split.offsets.to_numpy()))
+        key = np.sort(row * size + coded.indices.to_numpy(zero_copy_only=False))
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(start, append=len(key))
+        row, code = np.divmod(key[start], size)
+        # Blanks at the ends of a text, or nothing but blanks, give an empty chunk.
+        full = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[code] > 0
+        yield coded.dictionary, row[full] + k, code[full], times[full]
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """First row and texts of runs of about ``RUN_BYTES``; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, before + RUN_BYTES, side="right")))
+        yield start, texts.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, chunk, occurrences and documents, folded over the rows of a task. The row without a chunk tells
-    that the group occurs."""
-    occurrences: dict[tuple, Counter] = {}
-    documents: dict[tuple, Counter] = {}
-
-    def told() -> pa.RecordBatch:
-        rows = [(g, c, n, documents[g][c]) for g, counts in occurrences.items() for c, n in counts.items()]
-        rows += [(g, None, 0, 0) for g in occurrences]
-        columns = [
-            pa.array([r[0][0] for r in rows], pa.string()),
-            pa.array([r[0][1] for r in rows], pa.string()),
-            pa.array([r[1] for r in rows], pa.string()),
-            pa.array([r[2] for r in rows], pa.int64()),
-            pa.array([r[3] for r in rows], pa.int64()),
-        ]
-        occurrences.clear()
-        documents.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "chunk", "occurrences", "documents"])
-
-    held = 0
+    """g (the group), chunk, occurrences and documents, folded over runs of rows."""
     for batch in batches:
-        groups = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
-        texts = batch.column("text").cast(pa.binary())
-        for group, text in zip(groups, texts, strict=True):
-            counts = occurrences.setdefault(group, Counter())
-            before = len(counts)
-            met: set[bytes] = set()
-            for piece in _pieces(text.as_py()):
-                chunks = piece.split()
-                counts.update(chunks)
-                met.update(chunks)
-            documents.setdefault(group, Counter()).update(met)
-            held += len(counts) - before
-            if held > HELD:
-                yield told()
-                held = 0
-    if occurrences:
-        yield told()
-
-
-def _chunks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """did, lang and each distinct chunk of a document."""
-    for batch in batches:
-        for did, lang, text in zip(*(batch.column(c) for c in ("did", "lang", "text")), strict=True):
-            met: set[bytes] = set()
-            for piece in _pieces(text.cast(pa.binary()).as_py()):
-                met.update(piece.split())
-            columns = [pa.array([did.as_py()] * len(met)), pa.array([lang.as_py()] * len(met), pa.string())]
-            columns.append(pa.array(list(met), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["did", "lang", "chunk"])
+        groups = batch.column("g").to_numpy()
+        for chunks, row, code, times in _distinct(batch):
+            size = max(1, len(chunks))
+            known, group = np.unique(groups[row], return_inverse=True)
+            key = group.astype(np.int64) * size + code
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.diff(key[order], prepend=-1))
+            if not len(start):
+                continue
+            of, code = np.divmod(key[order][start], size)
+            counts = [np.add.reduceat(times[order], start), np.diff(start, append=len(order))]
+            columns = [pa.array(known[of]), chunks.take(pa.array(code)), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "chunk", "occurrences", "documents"])
+        tidy()
+
+
+def _chunks_met(bits: bytes):
+    """did, lang and each distinct chunk of a document whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunks, row, code, _ in _distinct(batch):
+                places = [crc32(c) & BITS - 1 for c in chunks.cast(pa.binary()).to_pylist()]
+                asked = np.array([bits[p >> 3] >> (p & 7) & 1 for p in places], dtype=bool)
+                use = asked[code] if len(asked) else np.zeros(0, dtype=bool)
+                columns = [batch.column(c).take(pa.array(row[use])) for c in ("did", "lang")]
+                yield pa.RecordBatch.from_arrays([*columns, chunks.take(pa.array(code[use]))], names=["did", "lang", "chunk"])
+            tidy()
+
+    return run
+
+
+def _bitmap(chunks: DataFrame) -> bytes:
+    """A bit for the crc32 of every chunk, folded in Spark to at most ``BITS / 64`` numbers."""
+    place = F.crc32(F.col("chunk").cast("binary")).bitwiseAND(F.lit(BITS - 1))
+    word = F.shiftright(place, 6).alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    out = np.zeros(BITS // 64, dtype=np.uint64)
+    for row in chunks.groupBy(word).agg(F.bit_or(bit).alias("bits")).collect():
+        out[row["word"]] = row["bits"] % (1 << 64)
+    return out.astype("<u8").tobytes()
+
+
+def _group_id() -> Column:
+    return F.xxhash64("lang", "source").alias("g")
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -129,50 +167,61 @@ class Vocabulary:
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str, lang: str, source: str, min_documents: int):
         self.spark, self.min_documents = spark, min_documents
         empty = F.lit("")
-        self.docs = docs.select(
-            F.coalesce(docs[text], empty).alias("text"),
-            F.coalesce(docs[lang].cast("string"), empty).alias("lang"),
-            F.coalesce(docs[source].cast("string"), empty).alias("source"),
-        )
-        schema = "lang string, source string, chunk string, occurrences long, documents long"
-        counted = self.docs.mapInArrow(_count_chunks, schema).groupBy("lang", "source", "chunk")
+        named = [F.coalesce(docs[c].cast("string"), empty).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
+        self.docs = docs.select(F.coalesce(docs[text], empty).alias("text"), *named)
+        self.groups = materialize(self._groups(), spark, "groups")
+        # Nearly all rows of a run differ, so a fold in front of the shuffle would only cost.
+        rows = self.docs.select(_group_id(), "text").mapInArrow(_count_chunks, "g long, chunk string, occurrences long, documents long")
+        counted = rows.repartition("chunk").groupBy("g", "chunk")
         counted = counted.agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
-        counted = materialize(counted, spark, "chunks")
-        self.groups = materialize(counted.where("chunk IS NULL").select("lang", "source"), spark, "groups")
-        counted = counted.where("chunk IS NOT NULL")
-        chunks = counted.select("chunk").distinct().select(F.monotonically_increasing_id().alias("cid"), "chunk")
-        self.chunks = materialize(chunks, spark, "distinct-chunks")
-        self.terms = materialize(self._tokenized(), spark, "chunk-terms")
-        numbered = counted.join(self.chunks, "chunk").select("lang", "source", "cid", "occurrences", "documents")
-        joined = materialize(numbered.join(self.terms, "cid"), spark, "chunk-counts")
-        kept = self._kept(joined)
-        self.kept = materialize(kept, spark, "kept-terms")
-        cells = joined.groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
-        self.cells = materialize(cells.join(self.kept, ["lang", "term"], "left_semi"), spark, "term-counts")
+        counted = materialize(counted, spark, "chunks").join(_sized(self.groups), "g")
+        # One row per distinct chunk, with the languages it occurs in; one shuffle serves both folds.
+        spoken = counted.select("chunk", "lang", "documents").repartition("chunk").groupBy("chunk", "lang").agg(F.sum("documents").alias("documents"))
+        chunks = spoken.groupBy("chunk").agg(F.collect_list(F.struct("lang", "documents")).alias("langs"))
+        self.chunks = materialize(chunks.withColumn("cid", F.monotonically_increasing_id()), spark, "distinct-chunks")
+        tokenized = self._tokenized().select("cid", "chunk", "term", "times", F.inline("langs"))
+        self.spellings = materialize(tokenized, spark, "chunk-terms")
+        self.kept = materialize(self._kept(), spark, "kept-terms")
+        wanted = self.spellings.join(_sized(self.kept), ["lang", "term"], "left_semi").select("lang", "chunk", "term", "times")
+        wanted = materialize(wanted, spark, "kept-chunks")
+        cells = counted.select("lang", "source", "chunk", "occurrences").join(_sized(wanted), ["lang", "chunk"]).groupBy("lang", "source", "term")
+        self.cells = materialize(cells.agg(F.sum(F.col("occurrences") * F.col("times")).alias("count")), spark, "term-counts")
+
+    def _groups(self) -> DataFrame:
+        """g, lang, source of every group, read without the texts. Groups are told by a hash while chunks are counted;
+        should two share one, the audit fails instead of mixing them."""
+        groups = self.docs.select(_group_id(), "lang", "source").distinct()
+        alone = F.count("*").over(W.partitionBy("g")) == 1
+        return groups.withColumn("g", F.when(alone, F.col("g")).otherwise(F.raise_error(F.lit("two groups share a hash")).cast("long")))
 
     def _tokenized(self) -> DataFrame:
-        """cid, term, times: each distinct chunk's terms, with how often it holds them."""
+        """cid, chunk, langs, term, times: each distinct chunk's terms, with how often it holds them."""
         lowered = F.translate("chunk", ascii_uppercase, ascii_lowercase)
-        terms = self.chunks.select("cid", F.explode(F.split(lowered, SEPARATORS)).alias("term")).where("term <> ''")
-        # All terms of a chunk come from one row, so the fold in front of the shuffle leaves little to add.
-        return terms.groupBy("cid", "term").agg(F.count("*").alias("times"))
-
-    def _kept(self, joined: DataFrame) -> DataFrame:
+        split = self.chunks.withColumn("terms", F.array_remove(F.split(lowered, SEPARATORS), ""))
+        few = split.where(F.size("terms") <= FEW).withColumn("term", F.explode(F.array_distinct("terms")))
+        times = (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).cast("long")
+        few = few.select("cid", "chunk", "langs", "term", times.alias("times"))
+        # Comparing each term with all would be quadratic in the rare chunks of very many; these are counted as rows.
+        many = split.where((F.length("chunk") > 2 * FEW) & (F.size("terms") > FEW))
+        counted = many.select("cid", F.explode("terms").alias("term")).groupBy("cid", "term").agg(F.count("*").alias("times"))
+        return few.unionByName(counted.join(many.select("cid", "chunk", "langs"), "cid"))
+
+    def _kept(self) -> DataFrame:
         """(lang, term) that stand in enough documents of the language."""
-        held = joined.groupBy("lang", "term", "cid").agg(F.sum("documents").alias("documents"))
-        bounds = held.groupBy("lang", "term").agg(F.max("documents").alias("least"), F.sum("documents").alias("most"))
+        bounds = self.spellings.groupBy("lang", "term").agg(F.max("documents").alias("least"), F.sum("documents").alias("most"))
         bounds = materialize(bounds.where(F.col("most") >= self.min_documents), self.spark, "bounds")
         sure = bounds.where(F.col("least") >= self.min_documents).select("lang", "term")
         # A document may hold several spellings of these; each spelling is rare in the language.
         open_ = bounds.where(F.col("least") < self.min_documents).select("lang", "term")
-        spelled = joined.join(_sized(open_), ["lang", "term"]).select("lang", "cid", "term").distinct()
-        spelled = spelled.join(self.chunks, "cid").select("lang", "chunk", "term")
+        spelled = self.spellings.join(_sized(open_), ["lang", "term"], "left_semi").select("lang", "chunk", "term")
         spelled = materialize(spelled, self.spark, "open-terms")
         if spelled.isEmpty():
             return sure
         rows = self.docs.select(F.monotonically_increasing_id().alias("did"), "lang", "text")
-        met = rows.mapInArrow(_chunks_met, "did long, lang string, chunk string").join(_sized(spelled), ["lang", "chunk"])
-        settled = met.select("lang", "term", "did").distinct().groupBy("lang", "term").agg(F.count("*").alias("documents"))
+        # The bits only spare most chunks the way to the join, which decides.
+        met = rows.mapInArrow(_chunks_met(_bitmap(spelled)), "did long, lang string, chunk string")
+        met = met.join(_sized(spelled), ["lang", "chunk"]).select("lang", "term", "did").distinct()
+        settled = met.groupBy("lang", "term").agg(F.count("*").alias("documents"))
         return sure.unionByName(settled.where(F.col("documents") >= self.min_documents).select("lang", "term"))
 
     def group_sizes(self) -> DataFrame:
