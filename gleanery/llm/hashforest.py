@@ -32,7 +32,7 @@ BITS = 60
 #: Candidates of a query over all trees: FACTOR * n ** GROWTH, counted with repeats.
 FACTOR = 20.0
 GROWTH = 0.7
-#: Largest leaf aimed at, in vectors; a leaf and the queries that reach it are worked on together.
+#: Most vectors of a leaf that are worked on together with the queries that reach it; larger leaves go in parts.
 LEAF = 20_000
 SEED = 20_260
 PLACE = [("tree", pa.int32()), ("leaf", pa.int32()), ("part", pa.int32()), ("entry", pa.int64())]
@@ -62,7 +62,7 @@ def codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
 class Directory:
     """The leaves of every tree in order: first string, depth and number of vectors.
 
-    A leaf of more than ``largest`` vectors, whose strings are all the same, is worked on in parts.
+    A leaf of more than ``largest`` vectors is worked on in parts.
     """
 
     def __init__(self, leaves: list[tuple[int, int, int, int]], trees: int, bits: int, largest: float) -> None:
@@ -101,6 +101,38 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & sound & F.exists(embedding, lambda x: x != 0)
 
 
+def nearest(asked: np.ndarray, stored: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``asked`` the places of the ``keep`` highest inner products in ``stored`` (all, if fewer), ties to the
+    first place, and the products, each summed in one order wherever the two vectors meet.
+
+    A matrix product, whose sums depend on its shape, only finds the rows that can be among them.
+    """
+    rough = asked @ stored.T
+    keep = min(keep, len(stored))
+    if keep == len(stored):
+        at = np.broadcast_to(np.arange(keep), rough.shape)
+        return at, _products(asked, stored, at)
+    order = np.argpartition(-rough, [keep - 1, keep], axis=1)
+    at = np.sort(order[:, :keep], axis=1)
+    row = np.arange(len(asked))
+    least, next_ = rough[row, order[:, keep - 1]], rough[row, order[:, keep]]
+    doubt = 1e-12 * np.linalg.norm(asked, axis=1) * np.linalg.norm(stored, axis=1).max()
+    for i in np.flatnonzero(next_ >= least - doubt):  # more than ``keep`` rows may belong to the highest
+        may = np.flatnonzero(rough[i] >= least[i] - doubt[i])
+        exact = _products(asked[i : i + 1], stored, may[None, :])[0]
+        at[i] = may[np.lexsort((may, -exact))[:keep]]
+    return at, _products(asked, stored, at)
+
+
+def _products(asked: np.ndarray, stored: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of each row with its places, in parts of bounded size."""
+    out = np.empty(at.shape)
+    step = max(1, (1 << 21) // max(1, at.shape[1] * stored.shape[1]))
+    for k in range(0, len(at), step):
+        out[k : k + step] = (stored[at[k : k + step]] * asked[k : k + step, None, :]).sum(axis=2)
+    return out
+
+
 class HashForest:
     """An index over all usable rows of a table of vectors."""
 
@@ -121,12 +153,13 @@ class HashForest:
         self.entries = materialize(entries.select(F.col("ids")[0].alias("entry"), "h", "v", "ids"), spark, "entries")
         self.n = self.entries.count()
         self.wanted = factor * self.n**growth
-        self.aim = min(LEAF, max(64.0, self.wanted / (2 * trees)))
+        # Leaves grow with the candidates asked for, so the directory grows as n ** (1 - GROWTH) only.
+        self.aim = max(64.0, self.wanted / (2 * trees))
         self.trees, self.bits = trees, BITS
         self.planes = directions(self.dimensions, trees) if self.n else None
         if self.n:
             self.strings = materialize(self._strings(), spark, "strings")
-            self.directory = Directory(self._leaves(), trees, self.bits, 4 * self.aim)
+            self.directory = Directory(self._leaves(), trees, self.bits, min(LEAF, 4 * self.aim))
 
     def _strings(self) -> DataFrame:
         planes = self.spark.sparkContext.broadcast(self.planes)
@@ -207,18 +240,13 @@ class HashForest:
             if not len(index) or not len(reached):
                 none = pd.Series(dtype=object)
                 return pd.DataFrame({"entry": pd.Series(dtype="int64"), "near": none, "score": none})
+            index = index.sort_values("entry")
             stored, near = np.stack(index["v"].to_numpy()), index["entry"].to_numpy()
             parts = []
             for start in range(0, len(reached), 256):
                 part = reached.iloc[start : start + 256]
-                score = np.stack(part["v"].to_numpy()) @ stored.T
-                if len(near) > keep:
-                    at = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                    score = np.take_along_axis(score, at, axis=1)
-                    found = near[at]
-                else:
-                    found = np.broadcast_to(near, score.shape)
-                parts.append(pd.DataFrame({"entry": part["entry"], "near": list(found), "score": list(score)}))
+                at, score = nearest(np.stack(part["v"].to_numpy()), stored, keep)
+                parts.append(pd.DataFrame({"entry": part["entry"], "near": list(near[at]), "score": list(score)}))
             return pd.concat(parts)
 
         triple = "tree int, leaf int, part int, entry long"

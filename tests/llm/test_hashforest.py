@@ -87,3 +87,46 @@ def test_odd_vectors(spark):
     all_equal = spark.createDataFrame([(i, [2.0, 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
     got = hashforest.HashForest(spark, all_equal, k=4).search(lambda i: i % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id) for r in got] == [(q, i) for q, near in [(0, [1, 2, 3, 4]), (20, [0, 1, 2, 3]), (40, [0, 1, 2, 3])] for i in near]
+
+
+def found_by(forest, queries):
+    got = {}
+    for r in forest.search(queries).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    return got
+
+
+@pytest.mark.parametrize("leaf", [100, 20_000])
+def test_ties_go_to_the_smaller_id(spark, monkeypatch, leaf):
+    """0/1 vectors tie in crowds; a forest that reaches the whole table gives the rows of brute force."""
+    rng = np.random.default_rng(5)
+    data = (rng.random((1499, 12)) < 0.4).astype(float)
+    ids = rng.permutation(3000)[: len(data)].tolist()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, data)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(hashforest, "LEAF", leaf)
+    forest = hashforest.HashForest(spark, frame, k=20, factor=1e6)
+    used = [i for i, v in zip(ids, data) if v.any()]
+    want = brute(used, data[data.any(axis=1)], [i for i in used if i % 20 == 0], 20)
+    assert found_by(forest, lambda i: i % 20 == 0) == want
+
+
+def test_nearest_sums_in_one_order():
+    rng = np.random.default_rng(6)
+    stored = np.repeat(rng.standard_normal((40, 33)), 5, axis=0)[rng.permutation(200)]
+    asked = rng.standard_normal((17, 33))
+    exact = np.array([[(a * s).sum() for s in stored] for a in asked])
+    for keep in (1, 4, 7, 199, 200, 300):
+        at, score = hashforest.nearest(asked, stored, keep)
+        for i in range(len(asked)):
+            best = np.lexsort((np.arange(200), -exact[i]))[:keep]
+            assert set(at[i].tolist()) == set(best.tolist())
+            assert (score[i] == exact[i][at[i]]).all()
+
+
+def test_norms_of_all_sizes(spark):
+    rng = np.random.default_rng(7)
+    data = rng.standard_normal((6000, 48)) * rng.lognormal(0, 1, 6000)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = found_by(hashforest.HashForest(spark, frame, k=20), lambda i: i % 100 == 0)
+    want = brute(list(range(len(data))), data, list(got), 20)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
