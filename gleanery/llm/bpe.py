@@ -3,6 +3,7 @@
 Texts are cut by the tokenizer's pattern. All distinct words of a slice that the task has not met yet are laid
 out in one symbol array with an inverted index from merge rank to the positions where that pair stands. Ranks
 are applied in order; each application rewrites its positions and only their two neighbours enter the index.
+Words of more than ``LONG_WORD`` bytes are merged by themselves, in the same order of ranks and positions.
 
 Defined results: a NULL text is the empty text and has no ids; rows are independent, so repeated rows repeat
 their result; texts of any length are encoded whole, in runs cut where the pattern always cuts.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -22,8 +23,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SLICE_BYTES, Remembered, gather, slices, texts_of, with_output
+from .common import SLICE_BYTES, Remembered, gather, slices, texts_of, tidy, with_output
 
+#: Bytes from which a word is merged by itself, since many places of one rank would each cost a pass.
+LONG_WORD = 2_000
 #: Words kept per Python worker and generation, and words laid out at a time; both only bound memory.
 CACHE_WORDS = 80_000
 REPLAY_WORDS = 100_000
@@ -62,6 +65,10 @@ class ByteBpe:
         self.words = Remembered(CACHE_WORDS)
         self.chunks = Remembered(CACHE_WORDS)
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.chunks.forget()
+
     def replay(self, words: list[bytes]) -> tuple[bytes, list[int]]:
         """Ids of all words as little-endian 32-bit integers, and where each word's ids end (in bytes).
 
@@ -144,6 +151,36 @@ class ByteBpe:
         last = np.where(ends > 0, kept[np.maximum(ends, 1) - 1], 0) if n else ends
         return out, (last * 4).tolist()
 
+    def merged(self, raw: bytes) -> bytes:
+        """Ids of one long word: the places of its pairs in a heap by rank and position, over linked symbols."""
+        ranks, token = self.ranks, [raw[i : i + 1] for i in range(len(raw))]
+        n = len(token)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        held = [ranks.get(token[i] + token[i + 1], -1) for i in range(n - 1)] + [-1]
+        heap = [r << 40 | i for i, r in enumerate(held) if r >= 0]
+        heapify(heap)
+        while heap:
+            first = heappop(heap)
+            i = first & (1 << 40) - 1
+            if held[i] != first >> 40:
+                continue
+            gone = nxt[i]
+            after = nxt[gone]
+            token[i] += token[gone]
+            token[gone], held[gone], held[i] = b"", -1, -1
+            nxt[i] = after
+            if after < n:
+                prv[after] = i
+                held[i] = ranks.get(token[i] + token[after], -1)
+                if held[i] >= 0:
+                    heappush(heap, held[i] << 40 | i)
+            back = prv[i]
+            if back >= 0:
+                held[back] = ranks.get(token[back] + token[i], -1)
+                if held[back] >= 0:
+                    heappush(heap, held[back] << 40 | back)
+        return np.array([ranks[t] for t in token if t], dtype="<u4").tobytes()
+
     def _learn(self, words: list[str]) -> None:
         new = []
         for word in words:
@@ -151,6 +188,8 @@ class ByteBpe:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.words[word] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG_WORD:
+                self.words[word] = self.merged(raw)
             else:
                 new.append((word, raw))
         for k in range(0, len(new), REPLAY_WORDS):
@@ -227,7 +266,7 @@ _LOADED: dict[int, ByteBpe] = {}
 
 
 def _bpe(ranks) -> ByteBpe:
-    """One instance per worker and vocabulary: its caches serve all tasks of the worker."""
+    """One instance per worker and vocabulary; its caches live as long as a task."""
     if ranks.id not in _LOADED:
         _LOADED.clear()
         _LOADED[ranks.id] = ByteBpe(*ranks.value)
@@ -249,16 +288,21 @@ class _Shipped:
 def _each(column: str, shipped: _Shipped, fields, emit: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shipped)
-        for batch in batches:
-            for part in slices(batch, column, SLICE_BYTES // 2):
-                texts = texts_of(part, column)
-                if part.num_rows == 1:
-                    ids = bpe.encode(texts[0].as_py())
-                    ends = np.array([len(ids)])
-                else:
-                    ids, ends = bpe.encode_batch(texts)
-                yield with_output(fields, emit(bpe, part, ids, ends))
-            pa.default_memory_pool().release_unused()
+        try:
+            for batch in batches:
+                for part in slices(batch, column, SLICE_BYTES // 2):
+                    texts = texts_of(part, column)
+                    if part.num_rows == 1:
+                        ids = bpe.encode(texts[0].as_py())
+                        ends = np.array([len(ids)])
+                    else:
+                        ids, ends = bpe.encode_batch(texts)
+                    yield with_output(fields, emit(bpe, part, ids, ends))
+                tidy()
+        finally:
+            # The vocabulary stays with the worker; the words met do not, since other stages need their room.
+            bpe.forget()
+            tidy()
 
     return run
 
