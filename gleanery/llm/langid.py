@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flattext
-from .common import slices, texts_of, with_output
+from .common import below_share, slices, texts_of, tidy, with_output
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -32,13 +32,15 @@ STEPS = 800
 RATE = 4.0
 #: Labelled texts taken per language to fit the model, the smallest by a hash of their id; it bounds the fit.
 TEXTS_PER_LABEL = 800
+#: Languages that can be learned, the most frequent ones.
+LABELS = 400
 #: Longest text (in characters) that is taken to fit the model; prediction reads every text whole.
 FIT_CHARS = 50_000
 #: Share of them that only calibrates.
 CALIBRATION = 0.25
 #: Share of the least confidence among right calibration texts that is still accepted.
 MARGIN = 0.9
-_PART = 2 << 20
+_PART = 1 << 19
 
 
 @dataclass
@@ -148,14 +150,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
 
 
 def fit(spark: SparkSession, docs: DataFrame, usable: Column | None = None) -> LanguageModel:
-    """Fits on at most ``TEXTS_PER_LABEL`` labelled texts of each language among the ``usable`` rows."""
+    """Fits on at most ``TEXTS_PER_LABEL`` labelled texts of each of the ``LABELS`` most frequent languages among the
+    ``usable`` rows; a text counts once per id and language, the first in order where they differ."""
     use = usable if usable is not None else F.lit(True)
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"), use.alias("use"))
     rows = rows.where("use AND lang IS NOT NULL AND doc_id IS NOT NULL").where(F.length("text") <= FIT_CHARS)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    counts = spark.createDataFrame(counts.collect(), counts.schema)
+    low = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(below_share(F.col("doc_id"), TEXTS_PER_LABEL, F.col("n")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= TEXTS_PER_LABEL)
-    chosen = spark.createDataFrame(few.select("doc_id").distinct().collect(), rows.select("doc_id").schema)
-    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").collect()
+    few = low.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= TEXTS_PER_LABEL)
+    chosen = spark.createDataFrame(few.select("doc_id", "lang").collect(), rows.select("doc_id", "lang").schema)
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in found], [r.lang for r in found])
 
@@ -173,5 +179,6 @@ def predict(
             for part in slices(batch, text):
                 labels, score, rejected = sent.value.predict(texts_of(part, text).to_pylist())
                 yield with_output(fields, [*part.columns, labels, score, rejected])
+            tidy()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))

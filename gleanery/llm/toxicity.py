@@ -8,6 +8,7 @@ the fitted sentence scores then say where the offence stands.
 
 Defined results: NULL and empty texts are one empty sentence; documents without labels are scored but never
 learned from; of several labels of a document each counts; without any label every score is that of the bias.
+Length is no evidence: sentences that score below ``FAINT`` are left out of the noisy-or unless they are the worst.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flattext
-from .common import slices, texts_of, with_output
+from .common import below_share, slices, texts_of, tidy, with_output
 
 #: Labelled documents taken to fit the model, the smallest by a hash of their id; it bounds the fit.
 FIT_DOCS = 5000
-#: Longest text (in characters) that is taken to fit the model; scoring reads every text whole.
-FIT_CHARS = 20_000
+#: Characters of all texts of the fit; one that would exceed what is left is passed over for the next.
+FIT_CHARS = 30_000_000
+#: Score from which a sentence counts beside the worst one. The faint scores of many harmless ones would add up.
+FAINT = 0.2
 #: Fitting documents that must hold a word for it to get a weight.
 MIN_DOCS = 4
 ROUNDS = 200
@@ -35,7 +38,7 @@ RATE = 0.15
 SPARSITY = 1e-4
 #: Beginnings of longer words that are features beside the word.
 STEMS = (4, 5, 6)
-_PART = 2 << 20
+_PART = 1 << 19
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -90,11 +93,14 @@ class ToxicityModel:
         of, z = self._logits(points)
         begin = of[starts[:-1]]
         stop = np.append(begin[1:], of[starts[-1]])
+        best = np.array([begin[k] + int(z[begin[k] : stop[k]].argmax()) for k in range(len(texts))])
         none = np.logaddexp(0, z)
+        faint = z < np.log(FAINT / (1 - FAINT))
+        faint[best] = False
+        none[faint] = 0
         sums = np.add.reduceat(none, begin)
         sums[-1] = none[begin[-1] : stop[-1]].sum()
         score = -np.expm1(-sums)
-        best = np.array([begin[k] + int(z[begin[k] : stop[k]].argmax()) for k in range(len(texts))])
         return score, _sigmoid(z[best]), best - begin
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
@@ -153,17 +159,34 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> ToxicityModel:
-    """Fits on at most ``FIT_DOCS`` labelled documents among the ``usable`` rows of ``labels``."""
+    """Fits on at most ``FIT_DOCS`` labels among the ``usable`` rows of ``labels``, the smallest by a hash of the id, and
+    at most ``FIT_CHARS`` characters of their documents; of several texts of an id the shortest is taken."""
     rows = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic"), (usable if usable is not None else F.lit(True)).alias("use"))
     rows = rows.where("use AND doc_id IS NOT NULL AND toxic IS NOT NULL")
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_DOCS).select("doc_id", "toxic").collect()
+    low = rows.where(below_share(F.col("doc_id"), FIT_DOCS, rows.count()))
+    few = low.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_DOCS).select("doc_id", "toxic").collect()
     if not few:
         return train([], [])
-    chosen = spark.createDataFrame(few, rows.select("doc_id", "toxic").schema)
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where(F.length("text") <= FIT_CHARS)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    found.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
-    return train([r.text for r in found], [int(r.toxic) for r in found])
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).where("text IS NOT NULL")
+    drawn = spark.createDataFrame(list(dict.fromkeys((r.doc_id,) for r in few)), rows.select("doc_id").schema)
+    # One text per id, so that an id on very many rows is one text of the fit.
+    one = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("t"))
+    lengths = {r.doc_id: (r.t.n, r.t.h) for r in one.collect()}
+    left, taken = FIT_CHARS, {}
+    for r in few:  # in the order of the hash
+        if r.doc_id in taken or r.doc_id not in lengths:
+            continue
+        n, h = lengths[r.doc_id]
+        if n <= left:
+            left -= n
+            taken[r.doc_id] = h
+    if not taken:
+        return train([], [])
+    chosen = spark.createDataFrame([*taken.items()], rows.select("doc_id").schema.add("h", "long"))
+    same = texts.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("h"))
+    bodies = {r.doc_id: r.text for r in same.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    found = sorted((r.doc_id, bodies[r.doc_id], int(r.toxic)) for r in few if r.doc_id in bodies)
+    return train([text for _, text, _ in found], [toxic for _, _, toxic in found])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,6 +199,7 @@ def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, key: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 yield with_output(fields, [part.column(0), *sent.value.score(texts_of(part).to_pylist())])
+            tidy()
 
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double, sentence_score double, sentence long")
