@@ -10,6 +10,8 @@ from ..model import MIN_SUPPORT, TOP_PAIRS
 
 # Tags of a basket that stand in one row.
 CHUNK = 256
+#: Buckets of the first pass over pairs: at most this many numbers per task, 8 MB to each task at worst.
+BUCKETS = 1 << 20
 
 
 def item_tags(articles: DataFrame, item: str = "id", tags: str = "tags") -> DataFrame:
@@ -17,17 +19,26 @@ def item_tags(articles: DataFrame, item: str = "id", tags: str = "tags") -> Data
     return explode_labels(articles, tags, "tag", item).withColumnRenamed(item, "id")
 
 
-def tag_cooccurrence(rows: DataFrame, min_support: int = MIN_SUPPORT, top: int | None = TOP_PAIRS) -> DataFrame:
+def tag_cooccurrence(
+    rows: DataFrame, min_support: int = MIN_SUPPORT, top: int | None = TOP_PAIRS, buckets: int | None = None
+) -> DataFrame:
     """``tag_a, tag_b, support`` (items holding both) from ``id, tag`` rows, duplicates allowed.
 
     Pairs below ``min_support`` are left out and the ``top`` best kept, ties by tag. A tag on fewer
     than ``min_support`` rows cannot be in a kept pair and is left out first; pairs are counted
     map-side before they are shuffled.
+
+    Where there are so many different pairs that counting them map-side gains nothing, give
+    ``buckets`` (such as ``BUCKETS``): a first pass counts hashes of pairs in that many buckets, and only
+    pairs of buckets that reach the support are counted, and shuffled, one by one. The rows are the same.
     """
     rows = rows.where(F.col("tag").isNotNull())
     frequent = rows.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
-    pairs = _pair_support(_baskets(rows.join(frequent.select("tag"), "tag", "left_semi")))
-    kept = pairs.where(F.col("support") >= min_support)
+    pairs = _pairs(_baskets(rows.join(frequent.select("tag"), "tag", "left_semi")))
+    if buckets:
+        pairs = _in_full_buckets(pairs, min_support, buckets)
+    counted = pairs.groupBy("tag_a", "tag_b").agg(F.count("*").alias("support"))
+    kept = counted.where(F.col("support") >= min_support)
     if top is None:
         return kept
     return kept.orderBy(F.desc("support"), "tag_a", "tag_b").limit(top)
@@ -39,7 +50,15 @@ def _baskets(rows: DataFrame) -> DataFrame:
     return sets.where(F.size("tags") >= 2).select("tags")
 
 
-def _pair_support(baskets: DataFrame) -> DataFrame:
+def _in_full_buckets(pairs: DataFrame, min_support: int, buckets: int) -> DataFrame:
+    """Pairs whose bucket holds ``min_support`` pairs or more: no other pair can reach it. Each task counts into at
+    most ``buckets`` rows, and as many numbers at most go back to the tasks."""
+    hashed = pairs.withColumn("_bucket", F.pmod(F.xxhash64("tag_a", "tag_b"), F.lit(buckets)))
+    full = hashed.groupBy("_bucket").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("_bucket")
+    return hashed.join(F.broadcast(full), "_bucket", "left_semi").select("tag_a", "tag_b")
+
+
+def _pairs(baskets: DataFrame) -> DataFrame:
     """Every basket is cut into runs of ``CHUNK`` tags, and each two runs are a row of their own.
 
     So a row holds two runs at most, however large the basket, and rebalancing spreads a large
@@ -50,5 +69,4 @@ def _pair_support(baskets: DataFrame) -> DataFrame:
     lead = cut.select("runs", F.posexplode("runs").alias("i", "run_a"))
     met = lead.select("run_a", F.explode(F.slice("runs", F.col("i") + 1, F.size("runs"))).alias("run_b"))
     each = met.hint("rebalance").select(F.explode("run_a").alias("tag_a"), "run_b")
-    found = each.select("tag_a", F.explode("run_b").alias("tag_b")).where(F.col("tag_a") < F.col("tag_b"))
-    return found.groupBy("tag_a", "tag_b").agg(F.count("*").alias("support"))
+    return each.select("tag_a", F.explode("run_b").alias("tag_b")).where(F.col("tag_a") < F.col("tag_b"))

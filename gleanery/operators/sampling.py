@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonarrays import as_array
 from ..functions.labels import label_array
 from ..model import LABELS, SAMPLE_TARGET
+from ..session import work_dir
 
 
 def _by_label(articles: DataFrame, labels: Sequence[str], extra: str | None = None) -> DataFrame:
@@ -43,59 +43,56 @@ def stratified_sample(
 def greedy_sample(articles: DataFrame, labels: Sequence[str] = LABELS, target: int = SAMPLE_TARGET) -> DataFrame:
     """The sequential rule, exactly: label by label, then over all, the least-used source's lowest id.
 
-    At most ``target`` rows are ever taken, so in each stratum only the first ``target`` ids of a
-    source, in the ``target`` sources whose first id is lowest, can be reached. Spark reduces the
-    table to those; the sequential pass then runs on that bounded set.
+    Within a stratum the turns are a merge of the sources' sorted ids: the k-th turn of a source comes
+    at its uses so far plus k, ties by id, and these keys grow along each source. So the turns taken
+    are the lowest keys of the stratum, which windows and a top-k find in parallel. From one stratum to
+    the next go the ids taken, ``target`` at most, and with them the uses per source. Ids are unique.
     """
-    reach = _reachable(articles, labels, target)
-    quota = ceil(target / len(labels))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": _choose(pdf, list(labels), quota, target)}, dtype="int64")
-
-    picked = reach.groupBy("lot").applyInPandas(choose, "id long")
-    return articles.join(picked, "id", "left_semi")
+    spark = articles.sparkSession
+    strata = [*labels, _ALL]
+    path = work_dir(spark, "sample-heads")
+    _reachable(articles, labels, target).write.partitionBy("stratum").parquet(path)
+    heads = spark.read.schema("id long, source string, stratum int").parquet(path)
+    quotas = [ceil(target / len(labels))] * len(labels) + [target]
+    taken: list[tuple] = []
+    for stratum, quota in zip(range(len(strata)), quotas, strict=True):
+        most = min(quota, target - len(taken))
+        if most > 0:
+            turns = _next_turns(heads.where(F.col("stratum") == stratum), spark.createDataFrame(taken, "id long, source string"), most)
+            taken += [(r["id"], r["source"]) for r in turns.collect()]
+    picked = spark.createDataFrame([(i,) for i, _ in taken], "id long")
+    return articles.join(F.broadcast(picked), "id", "left_semi")
+
+
+#: Stands for the stratum of all labelled articles.
+_ALL = ""
+
+
+def _next_turns(heads: DataFrame, taken: DataFrame, most: int) -> DataFrame:
+    """The next ``most`` turns over the articles of a stratum, given those ``taken`` before it."""
+    used = taken.groupBy(F.col("source").alias("by")).agg(F.count("*").alias("uses"))
+    free = heads.join(F.broadcast(taken.select("id")), "id", "left_anti")
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("id"))
+    ranked = free.withColumn("turn", turn).where(F.col("turn") <= most)
+    keyed = ranked.join(F.broadcast(used), F.col("source").eqNullSafe(F.col("by")), "left")
+    return keyed.orderBy(F.coalesce("uses", F.lit(0)) + F.col("turn"), "id").limit(most).select("id", "source")
 
 
 def _reachable(articles: DataFrame, labels: Sequence[str], target: int) -> DataFrame:
-    strata = _by_label(articles, labels, extra="")
-    order = F.row_number().over(Window.partitionBy("theme", "source").orderBy("id"))
+    """``id, source, stratum`` that the rule may take: of a stratum's sources the ``target`` whose first id is
+    lowest, and of each the first ``target`` ids, since no more are ever taken."""
+    names = F.array(*[F.lit(x) for x in (*labels, _ALL)])
+    rows = _by_label(articles, labels, extra=_ALL)
+    strata = rows.select("id", "source", (F.array_position(names, F.col("theme")) - 1).cast("int").alias("stratum"))
+    order = F.row_number().over(Window.partitionBy("stratum", "source").orderBy("id"))
     firsts = strata.withColumn("r", order).where(F.col("r") <= target)
-    starts = strata.groupBy("theme", "source").agg(F.min("id").alias("first"))
-    lowest = F.row_number().over(Window.partitionBy("theme").orderBy("first"))
+    starts = strata.groupBy("stratum", "source").agg(F.min("id").alias("first"))
+    lowest = F.row_number().over(Window.partitionBy("stratum").orderBy("first"))
     sources = starts.withColumn("s", lowest).where(F.col("s") <= target)
-    # At most ``target`` sources per stratum. A missing source is one source, too.
-    keep = sources.select(F.col("theme").alias("t"), F.col("source").alias("o"))
-    same = (F.col("theme") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))
-    return firsts.join(keep, same, "left_semi").select("id", "source", "theme", F.lit(0).alias("lot"))
-
-
-def _choose(pdf: pd.DataFrame, labels: list[str], quota: int, target: int) -> list[int]:
-    used: dict[object, int] = {}
-    taken: list[int] = []
-
-    def take_from(stratum: str, most: int) -> None:
-        pool = pdf[pdf["theme"] == stratum].sort_values("id")
-        queues = {s: list(g["id"]) for s, g in pool.groupby("source", dropna=False, sort=False)}
-        for _ in range(most):
-            heads = []
-            for source, ids in queues.items():
-                while ids and ids[0] in chosen:
-                    ids.pop(0)
-                if ids:
-                    heads.append((used.get(source, 0), ids[0], source))
-            if not heads or len(taken) >= target:
-                return
-            _, best, source = min(heads, key=lambda h: h[:2])
-            chosen.add(best)
-            taken.append(int(best))
-            used[source] = used.get(source, 0) + 1
-
-    chosen: set[int] = set()
-    for label in labels:
-        take_from(label, quota)
-    take_from("", target)
-    return taken
+    # A missing source is one source, too.
+    keep = sources.select(F.col("stratum").alias("t"), F.col("source").alias("o"))
+    same = (F.col("stratum") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))
+    return firsts.join(keep, same, "left_semi").select("id", "source", "stratum")
 
 
 def sample_sheet(sample: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def total(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"))
 
 
-def _newest_first() -> list[Column]:
+def newest_first() -> list[Column]:
     return [F.desc("date_article"), F.desc("date_collecte"), F.asc("id")]
 
 
@@ -111,7 +111,7 @@ def page(found: DataFrame, page: object = None, limit: object = None) -> DataFra
     through a result goes on from the last row seen: :func:`page_after`.
     """
     number, size = page_bounds(page, limit)
-    return found.orderBy(*_newest_first()).offset((number - 1) * size).limit(size)
+    return found.orderBy(*newest_first()).offset((number - 1) * size).limit(size)
 
 
 def page_after(found: DataFrame, last: Mapping | None, limit: object = None) -> DataFrame:
@@ -122,7 +122,7 @@ def page_after(found: DataFrame, last: Mapping | None, limit: object = None) ->
     size = page_bounds(None, limit)[1]
     if last is not None:
         found = found.where(_behind(last["date_article"], last["date_collecte"], last["id"]))
-    return found.orderBy(*_newest_first()).limit(size)
+    return found.orderBy(*newest_first()).limit(size)
 
 
 def _behind(article: str | None, collected: str | None, row_id: int) -> Column:

@@ -32,7 +32,25 @@ def calendar_of(days: DataFrame) -> DataFrame:
 
 
 def daily_aggregate(articles: DataFrame) -> DataFrame:
-    """``date, est_total, thematique, nb_articles, score_moyen`` per day and theme, plus day totals.
+    """``date, est_total, thematique, nb_articles, score_moyen`` per day and theme, plus day totals."""
+    return averaged(daily_partials(articles))
+
+
+def averaged(partials: DataFrame) -> DataFrame:
+    """The aggregate of partials that have one row per day and theme."""
+    return partials.select(
+        "date", "est_total", "thematique", F.col("n").alias("nb_articles"), F.try_divide("s", "k").alias("score_moyen")
+    )
+
+
+def summed(partials: DataFrame) -> DataFrame:
+    """Partials of several lots of articles as those of all: sums and counts add up, whatever came when."""
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "k")]
+    return partials.groupBy("date", "est_total", "thematique").agg(*sums)
+
+
+def daily_partials(articles: DataFrame) -> DataFrame:
+    """``date, est_total, thematique, n, s, k``: articles, sum of scores and articles with a score.
 
     The total must not come from summed theme rows: they count a multi-theme article several times
     and miss one without themes. Every article gives at least one row and exactly one head row (its
@@ -62,14 +80,7 @@ def daily_aggregate(articles: DataFrame) -> DataFrame:
         F.col("k_head").alias("k"),
     )
     both = F.when(F.col("thematique").isNull(), F.array(total)).otherwise(F.array(theme, total))
-    return (
-        cells.select("date", F.inline(both))
-        .groupBy("date", "est_total", "thematique")
-        .agg(
-            F.sum("n").alias("nb_articles"),
-            F.try_divide(F.sum("s"), F.sum("k")).alias("score_moyen"),
-        )
-    )
+    return summed(cells.select("date", F.inline(both)))
 
 
 def timeline(aggregate: DataFrame) -> DataFrame:

@@ -23,8 +23,13 @@ def keyed_update(
     repeat; if they do, the greatest values hold, so that no row is ever doubled.
     """
     ranked = updates.withColumn("_order", F.col(order) if order else F.struct(*cols))
-    given = last_per_key(ranked, key, cols, "_order")
-    renamed = given.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    return overlaid(articles, last_per_key(ranked, key, cols, "_order"), key, cols)
+
+
+def overlaid(articles: DataFrame, given: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """``articles`` with ``cols`` from ``given``, which has one row per key, where it has theirs."""
+    # A hint on ``given`` must stay at the join, so the columns are renamed below it.
+    renamed = given.withColumnsRenamed({c: f"_new_{c}" for c in cols}).withColumn("_hit", F.lit(True))
     joined = articles.join(renamed, key, "left")
     return joined.select(
         *[

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_iso
+from ..functions.dates import day_of, parse_iso
 from ..functions.labels import usable_scores, zip_scores
 from ..model import LABEL_HYPOTHESES, LABELS
-from ..operators import agreement, health, kpi, star
+from ..operators import agreement, health, kpi, sketches, star, variants
 from ..operators.classify import labels_from_scores, outcome_counts
-from ..operators.cooccurrence import item_tags, tag_cooccurrence
-from ..operators.trends import weekly_trend
+from ..operators.cooccurrence import BUCKETS, item_tags, tag_cooccurrence
+from ..operators.trends import fine_trend, weekly_trend
 from ..operators.updates import keyed_update
 from ..sources.tables import table
 from .catalog import Query
@@ -19,9 +19,11 @@ from .views import (
     ARTICLES_SQL,
     DOCUMENT_LABELS,
     DOCUMENTS_SQL,
+    SPELLED_SQL,
     annotated_documents,
     articles,
     order_tags,
+    spelled_tags,
     vector_scores,
 )
 
@@ -45,6 +47,32 @@ def _article_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return tag_cooccurrence(item_tags(articles(spark, folder)), top=200)
 
 
+def _article_pairs_in_two_passes(spark: SparkSession, folder: str) -> DataFrame:
+    return tag_cooccurrence(item_tags(articles(spark, folder)), top=200, buckets=BUCKETS)
+
+
+def _variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.tag_variants(spelled_tags(spark, folder))
+
+
+_VARIANTS_SQL = f"""WITH RECURSIVE {SPELLED_SQL},
+compte AS (
+  SELECT tag, count(*) AS nb,
+    regexp_replace(translate(lower(tag), '{variants.ACCENTED}', '{variants.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS forme
+  FROM spelled WHERE tag IS NOT NULL GROUP BY tag),
+formes AS (SELECT DISTINCT forme FROM compte WHERE forme <> ''),
+liens AS (
+  SELECT a.forme AS a, b.forme AS b FROM formes a JOIN formes b
+    ON levenshtein(a.forme, b.forme) <= 1 AND length(a.forme) >= 6 AND length(b.forme) >= 6
+    AND regexp_replace(a.forme, '[^0-9]', '', 'g') = regexp_replace(b.forme, '[^0-9]', '', 'g')
+  UNION SELECT forme, forme FROM formes),
+atteint(forme, vers) AS (
+  SELECT a, b FROM liens UNION SELECT x.forme, l.b FROM atteint x JOIN liens l ON l.a = x.vers),
+groupes AS (SELECT forme, min(vers) AS groupe FROM atteint GROUP BY forme)
+SELECT tag, first_value(tag) OVER (PARTITION BY coalesce(groupe, ' ' || tag) ORDER BY nb DESC, tag) AS canonique, nb
+FROM compte LEFT JOIN groupes USING (forme)"""
+
+
 # --- trends --------------------------------------------------------------------------------
 
 
@@ -52,6 +80,12 @@ def _weekly(spark: SparkSession, folder: str) -> DataFrame:
     return _text(weekly_trend(table(spark, folder, "orders"), "o_orderdate"), "semaine")
 
 
+def _events_by_second(spark: SparkSession, folder: str) -> DataFrame:
+    # Some ten ranges at every scale, so that rows are carried over at small ones, too.
+    events = table(spark, folder, "events")
+    return _text(fine_trend(events, "ts", range_rows=max(100, events.count() // 10)), "debut")
+
+
 def _weekly_by_status(spark: SparkSession, folder: str) -> DataFrame:
     a = articles(spark, folder).select("categorie_mistral", parse_iso(F.col("date_article")).alias("ts"))
     return _text(weekly_trend(a, "ts", key="categorie_mistral"), "semaine")
@@ -80,12 +114,13 @@ def _article_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return agreement.agreement_by_label(articles(spark, folder), "themes_mistral", "themes_ml")
 
 
-_AGREEMENT_SQL = """SELECT count(*) AS total, count(both_sizes) AS compares,
-  count(*) FILTER (common = both_sizes / 2 AND same_size) AS accord_exact,
-  count(*) FILTER (common > 0) AS chevauchement,
-  coalesce(floor(avg(CASE both_sizes WHEN 0 THEN 1.0 ELSE common / (both_sizes - common) END) * 1000 + 0.5) / 1000, 0.0)
+_AGREEMENT_SQL = """SELECT count(*) AS total, count(*) FILTER (m IS NOT NULL AND b IS NOT NULL) AS compares,
+  count(*) FILTER (list_sort(m) = list_sort(b)) AS accord_exact,
+  count(*) FILTER (list_has_any(m, b)) AS chevauchement,
+  coalesce(floor(avg(CASE WHEN len(m) + len(b) = 0 THEN 1.0
+      ELSE len(list_intersect(m, b)) / (len(m) + len(b) - len(list_intersect(m, b))) END) * 1000 + 0.5) / 1000, 0.0)
     AS jaccard_moyen
-FROM (SELECT len(m) + len(b) AS both_sizes, len(m) = len(b) AS same_size, len(list_intersect(m, b)) AS common FROM docs)"""
+FROM docs"""
 
 
 def _by_label_sql(source: str, labels: list[str]) -> str:
@@ -166,30 +201,46 @@ def _regularity(spark: SparkSession, folder: str) -> DataFrame:
     return star.collection_regularity(_client_days(spark, folder), "jour")
 
 
+def _distinct_by_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct sources and titles of ten ranges of days, exactly, and whether the sketches come within 2 %."""
+    a = articles(spark, folder).withColumn("jour", day_of(F.col("date_article"))).where("jour IS NOT NULL")
+    ranges = a.agg(F.min("jour").alias("a"), F.max("jour").alias("b")).select(
+        "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.date_add("a", i * 97))).alias("debut")
+    )
+    ranges = ranges.select("debut", F.greatest("debut", F.date_sub("b", 31)).alias("fin"))
+    # Two lots, as they would be stored one after the other.
+    lots = [sketches.daily_sketches(a.where(F.col("id") % 2 == i), ["source", "titre"]) for i in (0, 1)]
+    found = sketches.distinct_between(sketches.merged(lots[0].unionByName(lots[1])), ranges)
+    exact = sketches.by_day(ranges, "jour").join(a, "jour", "left").groupBy("debut", "fin")
+    exact = exact.agg(F.countDistinct("source").alias("sources"), F.countDistinct("titre").alias("titres"))
+    near = lambda estimate, n: F.abs(estimate - n) <= 0.02 * n
+    both = found.join(exact, ["debut", "fin"]).withColumn("proche", near(F.col("source"), F.col("sources")) & near(F.col("titre"), F.col("titres")))
+    return _text(both.select("debut", "fin", "sources", "titres", "proche"), "debut", "fin")
+
+
 def _backtest(spark: SparkSession, folder: str) -> DataFrame:
     return health.freshness_backtest(_client_days(spark, folder), "jour", ok_days=0, alert_days=1)
 
 
-# One row per era and collection day, then one per era: days are rows there, so passes, span and gaps
-# are plain aggregates. Averages of ages and shares are rebuilt from sums and counts.
+# One row per era and collection day, then one per era: days are rows there, so passes, span and gaps are plain
+# aggregates. Distinct values are counted over the articles.
 _KPI_SQL = """par_jour AS (
   SELECT date_collecte < '1998-04-01' AS avant, CAST(ts_collecte AS DATE) AS jour, count(*) AS n,
     sum((epoch_us(ts_collecte) - epoch_us(ts_article)) / 86400000000.0) AS ages, count(ts_article) AS n_ages,
-    list(score_mistral) AS scores, list(DISTINCT categorie_mistral) AS categories, list(DISTINCT source) AS sources,
+    count(*) FILTER (score_mistral = 3) AS n3, count(*) FILTER (score_mistral = 4) AS n4,
+    count(*) FILTER (score_mistral IN (1, 2)) AS n12, count(*) FILTER (score_mistral = 5) AS n5,
     count(*) FILTER (categorie_mistral = 'HORS_SCOPE') AS hors, count(*) FILTER (themes_mistral IS NULL) AS sans
   FROM articles GROUP BY ALL),
-avec_ecart AS (
-  SELECT *, jour - max(jour) OVER (PARTITION BY avant ORDER BY jour ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS ecart
-  FROM par_jour),
-par_ere AS (
+avec_ecart AS (SELECT *, jour - lag(jour) OVER (PARTITION BY avant ORDER BY jour) AS ecart FROM par_jour),
+distincts AS (
+  SELECT date_collecte < '1998-04-01' AS avant, count(DISTINCT categorie_mistral) AS categories, count(DISTINCT source) AS sources
+  FROM articles GROUP BY 1),
+comptes AS (
   SELECT avant, sum(n) AS n, count(*) AS passes, min(jour) AS debut, max(jour) AS fin, sum(ages) / sum(n_ages) AS age,
-    flatten(list(scores)) AS scores, len(list_distinct(flatten(list(categories)))) AS categories,
-    len(list_distinct(flatten(list(sources)))) AS sources, sum(hors) AS hors, sum(sans) AS sans,
+    CAST(sum(n3) AS BIGINT) AS n3, CAST(sum(n4) AS BIGINT) AS n4, CAST(sum(n12) AS BIGINT) AS n12, CAST(sum(n5) AS BIGINT) AS n5,
+    any_value(categories) AS categories, any_value(sources) AS sources, sum(hors) AS hors, sum(sans) AS sans,
     avg(ecart) AS ecart_moyen, median(ecart) AS ecart_median, max(ecart) AS ecart_max
-  FROM avec_ecart GROUP BY avant HAVING count(ecart) > 0),
-comptes AS (
-  SELECT *, len(list_filter(scores, lambda x: x = 3)) AS n3, len(list_filter(scores, lambda x: x = 4)) AS n4,
-    len(list_filter(scores, lambda x: x <= 2)) AS n12, len(list_filter(scores, lambda x: x = 5)) AS n5 FROM par_ere)"""
+  FROM avec_ecart JOIN distincts USING (avant) GROUP BY avant HAVING count(ecart) > 0)"""
 _KPI_ROW = """SELECT CASE WHEN avant THEN 'avant' ELSE 'apres' END AS ere, CAST(n AS BIGINT) AS articles, passes,
   CAST(debut AS VARCHAR) AS premiere_collecte, CAST(fin AS VARCHAR) AS derniere_collecte,
   CAST(fin - debut AS INTEGER) AS etendue_j, CAST(((20 * n + passes) // (2 * passes)) / 10.0 AS DOUBLE) AS articles_par_passe,
@@ -234,6 +285,12 @@ _SCORES = f"""sc AS (SELECT vec_id AS id, label, list_transform(embedding[1:7],
 lab AS (SELECT id, label, s, l, list_filter(l, lambda x, i: s[i] >= 0.7) AS kept FROM sc)"""
 
 
+_ARTICLE_PAIRS = _sql(
+    """SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS support FROM it a JOIN it b ON a.id = b.id AND a.tag < b.tag
+    GROUP BY ALL HAVING count(*) >= 5 ORDER BY support DESC, tag_a, tag_b LIMIT 200""",
+    "it AS (SELECT DISTINCT id, unnest(t) AS tag FROM articles)",
+)
+
 QUERIES = {
     "tag_cooccurrence": Query(
         _brand_pairs,
@@ -241,14 +298,9 @@ QUERIES = {
         SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS support FROM it a JOIN it b ON a.id = b.id AND a.tag < b.tag
         GROUP BY ALL HAVING count(*) >= 5 ORDER BY support DESC, tag_a, tag_b LIMIT 50""",
     ),
-    "tag_cooccurrence_articles": Query(
-        _article_pairs,
-        _sql(
-            """SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS support FROM it a JOIN it b ON a.id = b.id AND a.tag < b.tag
-            GROUP BY ALL HAVING count(*) >= 5 ORDER BY support DESC, tag_a, tag_b LIMIT 200""",
-            "it AS (SELECT DISTINCT id, unnest(t) AS tag FROM articles)",
-        ),
-    ),
+    "tag_cooccurrence_articles": Query(_article_pairs, _ARTICLE_PAIRS),
+    "tag_cooccurrence_two_passes": Query(_article_pairs_in_two_passes, _ARTICLE_PAIRS),
+    "tag_variants": Query(_variants, _VARIANTS_SQL),
     "weekly_trend": Query(
         _weekly,
         f"""SELECT CAST(CAST(semaine AS DATE) AS VARCHAR) AS semaine, nb_articles,
@@ -256,6 +308,13 @@ QUERIES = {
             AS moyenne_glissante_4s
         FROM (SELECT {_WEEK.format('o_orderdate')} AS semaine, count(*) AS nb_articles FROM orders GROUP BY 1)""",
     ),
+    "trend_by_second": Query(
+        _events_by_second,
+        """SELECT CAST(debut AS VARCHAR) AS debut, nb_articles,
+          CAST(round(CAST(avg(nb_articles) OVER (ORDER BY debut ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DECIMAL(18, 6)), 2) AS DOUBLE)
+            AS moyenne_glissante
+        FROM (SELECT date_trunc('second', ts) AS debut, count(*) AS nb_articles FROM events WHERE ts IS NOT NULL GROUP BY 1)""",
+    ),
     "weekly_trend_by_category": Query(
         _weekly_by_status,
         _sql(
@@ -349,6 +408,16 @@ QUERIES = {
         FROM (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS n, CAST(datediff('day', min(CAST(o_orderdate AS DATE)),
           max(CAST(o_orderdate AS DATE))) + 1 AS INTEGER) AS span FROM orders)""",
     ),
+    "distinct_by_sketch": Query(
+        _distinct_by_sketch,
+        _sql(
+            """SELECT CAST(debut AS VARCHAR) AS debut, CAST(fin AS VARCHAR) AS fin, count(DISTINCT source) AS sources,
+              count(DISTINCT titre) AS titres, true AS proche
+            FROM (SELECT CAST(a + CAST(i * 97 AS INTEGER) AS DATE) AS debut, CAST(greatest(a + CAST(i * 97 AS INTEGER), b - 31) AS DATE) AS fin
+                  FROM (SELECT min(jour) AS a, max(jour) AS b FROM articles), range(10) t(i)) r
+            LEFT JOIN articles ON jour BETWEEN debut AND fin GROUP BY 1, 2"""
+        ),
+    ),
     "freshness_backtest": Query(
         _backtest,
         """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS jour FROM orders),

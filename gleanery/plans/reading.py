@@ -9,6 +9,7 @@ from ..functions.dates import in_day
 from ..operators import search as s
 from ..operators import stats
 from ..operators.normalize import decode_rows
+from ..operators.paging import PageIndex
 from .catalog import Query
 from .views import ARTICLES_SQL, articles
 
@@ -39,6 +40,12 @@ def _page_after(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(s.page_after(found, s.page(found, "9", "100").collect()[-1], "100"))
 
 
+def _page_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same page from an index over the pages of the result."""
+    found = s.search(articles(spark, folder), ml="oui")
+    return _flat(PageIndex.build(found).page("10", "100"))
+
+
 def _day(spark: SparkSession, folder: str) -> DataFrame:
     a = articles(spark, folder)
     return a.where(in_day(F.col("date_article"), "1995-01-05")).select("id", "url", "date_article")
@@ -111,6 +118,9 @@ QUERIES = {
     "search_page_after": Query(
         _page_after, _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 900")
     ),
+    "search_page_indexed": Query(
+        _page_indexed, _sql(f"SELECT {_ROW} FROM articles WHERE b IS NOT NULL {_ORDER} LIMIT 100 OFFSET 900")
+    ),
     "day_slice": Query(
         _day,
         _sql("SELECT id, url, date_article FROM articles WHERE date_article >= '1995-01-05' AND date_article < '1995-01-06'"),

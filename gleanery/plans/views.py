@@ -138,6 +138,30 @@ def order_tags(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(F.col("l_orderkey").alias("id"), F.col("p_brand").alias("tag"))
 
 
+def spelled_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, tag``: part names as tags, each in one of seven spellings."""
+    p = table(spark, folder, "part")
+    name, size = F.col("p_name"), F.length("p_name")
+    kind = F.col("p_partkey") % 7
+    spelled = (
+        F.when(kind == 1, F.upper(name))
+        .when(kind == 2, F.replace(name, F.lit(" "), F.lit("-")))
+        .when(kind == 3, F.concat(name, F.lit("s")))
+        .when(kind == 4, name.substr(F.lit(1), size - 1))
+        .when(kind == 5, F.concat(F.replace(name, F.lit("e"), F.lit("é")), F.lit("ss")))
+        .when(kind == 6, F.concat(F.substring("p_name", 1, 1), F.lit(" "), F.substring("p_name", 1, 3)))
+        .otherwise(name)
+    )
+    return p.select(F.col("p_partkey").alias("id"), spelled.alias("tag"))
+
+
+SPELLED_SQL = """spelled AS (
+  SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-')
+    WHEN 3 THEN p_name || 's' WHEN 4 THEN left(p_name, length(p_name) - 1)
+    WHEN 5 THEN replace(p_name, 'e', 'é') || 'ss' WHEN 6 THEN left(p_name, 1) || ' ' || left(p_name, 3) ELSE p_name END AS tag
+  FROM part)"""
+
+
 def annotated_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` labelled by ``labels`` (NULL where absent) and by a rule on the text length and language."""
     d = table(spark, folder, "documents").select("doc_id", "source", "lang", F.length("text").alias("taille"))

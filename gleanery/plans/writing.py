@@ -17,6 +17,7 @@ from ..sources import files
 from ..sources.store import Store
 from ..sources.tables import table
 from ..streaming.ingest import event_stream, start_ingest, store_responses
+from ..streaming.trend import TrendTable, start_trend
 from . import batch
 from .catalog import Query
 from .checks import LINES_SQL, NOW, PICKED_SQL, STORED_SELECT, annotation_lines, stored_view
@@ -231,6 +232,38 @@ def _stream_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return _aggregate(_streamed(spark, folder))
 
 
+def _stream_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """The events' weekly trend from a stream that is stopped and resumed between two deliveries, out of order."""
+    root = work_dir(spark, "trend")
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    weeks = TrendTable(spark, f"{root}/trend")
+    for late in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        events.where(late).write.mode("append").parquet(f"{root}/incoming")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/incoming")
+        start_trend(stream, "ts", weeks, f"{root}/progress", lateness="60 days").awaitTermination()
+    return weeks.trend().withColumn("semaine", F.col("semaine").cast("string"))
+
+
+class _FailingRefresh(Store):
+    """A store whose aggregate cannot be refreshed, as with a lost cluster of readers."""
+
+    def refresh_days(self, days=None) -> None:
+        raise RuntimeError("no refresh")
+
+
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream with every refresh failing: nothing sent is lost, the aggregate stays empty, a rebuild repairs it."""
+    root = work_dir(spark, "repair")
+    broken = _FailingRefresh(spark, root).create()
+    event_records(spark, folder).drop("rang").write.json(f"{root}/incoming")
+    stream = event_stream(spark, f"{root}/incoming")
+    start_ingest(stream, broken, f"{root}/progress", lambda: CLOCK).awaitTermination()
+    store = Store(spark, root)
+    left = store.aggregate().count()
+    store.rebuild()
+    return _aggregate(store).withColumn("avant", F.lit(left))
+
+
 _STORED_DAYS = f"""WITH {RECORDS_SQL}
 SELECT CAST(jour AS VARCHAR) AS date, false AS est_total, theme AS thematique, count(*) AS nb_articles,
   avg(score_mistral) AS score_moyen FROM (SELECT jour, score_mistral, unnest(m) AS theme FROM stored)
@@ -307,4 +340,13 @@ QUERIES = {
     ),
     "stream_ingest": Query(_stream_facts, f"WITH {RECORDS_SQL} {STORED_SELECT}"),
     "stream_aggregate": Query(_stream_aggregate, _STORED_DAYS),
+    "stream_trend": Query(
+        _stream_trend,
+        """SELECT CAST(CAST(semaine AS DATE) AS VARCHAR) AS semaine, nb_articles,
+          CAST(round(CAST(avg(nb_articles) OVER (ORDER BY semaine ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DECIMAL(18, 6)), 2) AS DOUBLE)
+            AS moyenne_glissante_4s
+        FROM (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS semaine, count(*) AS nb_articles
+              FROM events WHERE ts IS NOT NULL GROUP BY 1)""",
+    ),
+    "failed_refresh_repair": Query(_repaired, f"SELECT *, CAST(0 AS BIGINT) AS avant FROM ({_STORED_DAYS})"),
 }

@@ -51,20 +51,20 @@ def ingest_step(
             if rejects_path:
                 # A folder per batch: a replay replaces what it wrote.
                 rejected(events).drop("arrivee").write.mode("overwrite").json(f"{rejects_path}/lot={epoch}")
-            _refresh(store, candidates, epoch)
+            _refresh(store, epoch)
         finally:
             candidates.unpersist()
 
     return step
 
 
-def _refresh(store: Store, batch: DataFrame, epoch: int) -> None:
-    # Days of all rows sent, not just the new ones: a replay after a crash between append and
-    # refresh has nothing new to append but must still repair those days.
+def _refresh(store: Store, epoch: int) -> None:
+    # The store knows which lots its aggregate lacks, so a replay after a crash, which has nothing
+    # new to append, still brings it up to date.
     try:
-        store.refresh_days(store.touched_days(batch))
+        store.refresh_days()
     except Exception:
-        # The facts are stored; Store.rebuild repairs the aggregate later.
+        # The facts are stored; the next refresh or Store.rebuild repairs the aggregate.
         log.exception("aggregate refresh failed for batch %s", epoch)
 
 

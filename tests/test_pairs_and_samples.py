@@ -130,3 +130,44 @@ def test_samples(spark, seed, target):
     assert greedy == brute_greedy(rows, target)
     spread = sorted(r["id"] for r in sampling.stratified_sample(df, LABELS, target).collect())
     assert spread == brute_round_robin(rows, target)
+
+
+def test_a_large_target_runs_in_bounded_groups(spark):
+    """More turns than one source has ids: the merge crosses sources, and strata end before their quota."""
+    rows = [(i, f"s{i % 7}" if i % 3 else None, [LABELS[i % len(LABELS)]] if i % 4 else [LABELS[0], LABELS[1]]) for i in range(900)]
+    got = sorted(r["id"] for r in sampling.greedy_sample(frame(spark, rows), LABELS, 400).collect())
+    assert got == brute_greedy(rows, 400)
+    everything = sampling.greedy_sample(frame(spark, rows), LABELS, 10_000)
+    assert everything.count() == 900
+
+
+def test_two_passes_give_the_same_pairs_and_shuffle_fewer(spark):
+    from gleanery.operators import cooccurrence as c
+
+    rng = random.Random(2)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(60)]
+    rows = [(i, t) for i in range(150) for t in {rng.choice(common), rng.choice(common), *rng.sample(rare, 4)}]
+    df = spark.createDataFrame(rows, "id long, tag string")
+    one = c.tag_cooccurrence(df, 8, top=None)
+    for buckets in (1, 64, c.BUCKETS):
+        assert sorted(as_tuples(c.tag_cooccurrence(df, 8, top=None, buckets=buckets))) == sorted(as_tuples(one))
+    pairs = c._pairs(c._baskets(df))
+    kept = c._in_full_buckets(pairs, 8, c.BUCKETS)
+    assert kept.distinct().count() == one.count() < 0.1 * pairs.distinct().count()
+
+
+@pytest.mark.parametrize(("n", "range_rows"), [(1, 10), (4, 1), (4, 3), (7, 25), (3, 10_000)])
+def test_ordered_windows_over_ranges(spark, n, range_rows):
+    from pyspark.sql import functions as F
+
+    from gleanery.operators.ordered import over_last_rows
+
+    rng = random.Random(n)
+    values = {at: rng.randint(0, 50) for at in rng.sample(range(10_000), 120)}
+    rows = spark.createDataFrame([(f"x{at}", at, v) for at, v in values.items()], "name string, at long, v long")
+    found = over_last_rows(rows, "at", n, F.sum("v"), "total", range_rows)
+    assert found.columns == ["name", "at", "v", "total"]
+    order = sorted(values)
+    want = [(f"x{at}", at, values[at], sum(values[b] for b in order[max(0, i + 1 - n) : i + 1])) for i, at in enumerate(order)]
+    assert sorted(as_tuples(found), key=lambda r: r[1]) == want
+    assert over_last_rows(rows.limit(0), "at", n, F.sum("v"), "total").collect() == []

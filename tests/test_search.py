@@ -8,6 +8,7 @@ import pytest
 
 from gleanery.operators import search, stats
 from gleanery.operators.normalize import decode_rows
+from gleanery.operators.paging import PageIndex
 
 from .conftest import as_tuples
 
@@ -133,3 +134,17 @@ def test_profile(make_articles):
 def test_frequent_tags(make_articles):
     rows = make_articles(*[{"tags": '["a","b"]'}] * 3, {"tags": '["b","c"]'})
     assert as_tuples(stats.frequent_tags(rows, {"a": "IA/ML"})) == [(None, 1, 4), ("IA/ML", 1, 3)]
+
+
+def test_indexed_pages_are_those_of_the_ranking(make_articles):
+    rng = random.Random(8)
+    day = lambda: rng.choice([None, "2026-01-01", "2026-01-02", "2026-02-01"])
+    rows = make_articles(*[{"date_article": day(), "date_collecte": f"2026-03-0{rng.randint(1, 3)}"} for _ in range(230)])
+    index = PageIndex.build(rows, slice_rows=25)
+    assert index.total == 230 and len(index.slices) > 4
+    for number, size in [(1, 7), (2, 100), (3, 100), (4, 100), (23, 10), (24, 10), (9, 13)]:
+        got = index.page(number, size)
+        assert as_tuples(got) == as_tuples(search.page(rows, number, size))
+    deep = index.page(23, 10)
+    assert len({f.split("_tranche=")[1].split("/")[0] for f in deep.inputFiles()}) <= 2
+    assert PageIndex.build(rows.limit(0)).page(1, 10).collect() == []
