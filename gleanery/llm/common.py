@@ -32,7 +32,7 @@ def hash_share(key: Column) -> Column:
 
 
 def below_share(key: Column, bound: int, n: Column | int) -> Column:
-    """Leaves some two times ``bound`` of ``n`` keys, those of the lowest hashes, so that few are left to be ranked.
+    """Leaves some two times ``bound`` of ``n`` distinct keys, those of the lowest hashes, so that few are left to be ranked.
 
     The ``bound`` lowest are among them but for a chance that vanishes with the bound (below 1e-50 from 500 on).
     """

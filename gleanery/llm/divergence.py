@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -43,8 +42,10 @@ SOURCES = 128
 TERMS = 1024
 #: Bytes of text whose chunks are folded together.
 RUN_BYTES = 16 << 20
-#: Bits that tell which chunks a second reading is after (2 MB to each task).
-BITS = 1 << 24
+#: 2 ** BITS bits tell which chunks a second reading is after (2 MB to each task), by this many bytes of a chunk.
+BITS = 24
+HASHED = 24
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Terms of a chunk that are counted within its row.
 FEW = 32
 #: Bytes of a longer text that are split at a time.
@@ -65,23 +66,28 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:] if start else text
 
 
-def _distinct(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def _distinct(batch: pa.RecordBatch, asked=None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of rows: their distinct chunks, and for every chunk of every document its row, its number among them and how
-    often it stands there."""
+    often it stands there. Only chunks that ``asked`` marks, if given."""
     texts = batch.column("text")
     for k, part in _runs(texts):
         if len(part) == 1 and pc.binary_length(part)[0].as_py() > RUN_BYTES:
             found: Counter = Counter()
             for piece in _pieces(part[0].as_py().encode()):
                 found.update(piece.split())
-            n = len(found)
-            yield pa.array([*found], pa.string()), np.full(n, k), np.arange(n), np.array([*found.values()], dtype=np.int64)
+            chunks, times = pa.array([*found], pa.string()), np.array([*found.values()], dtype=np.int64)
+            code = np.flatnonzero(asked(chunks)) if asked else np.arange(len(chunks))
+            yield chunks, np.full(len(code), k), code, times[code]
             continue
         split = pc.ascii_split_whitespace(part)
         coded = split.flatten().dictionary_encode()
         size = max(1, len(coded.dictionary))
         row = np.repeat(np.arange(len(part), dtype=np.int64), np.diff(split.offsets.to_numpy()))
-        key = np.sort(row * size + coded.indices.to_numpy(zero_copy_only=False))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        if asked:
+            use = asked(coded.dictionary)[index]
+            row, index = row[use], index[use]
+        key = np.sort(row * size + index)
         start = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.diff(start, append=len(key))
         row, code = np.divmod(key[start], size)
@@ -119,31 +125,49 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         tidy()
 
 
-def _chunks_met(bits: bytes):
+def _places(chunks: pa.Array) -> np.ndarray:
+    """Where the bit of each chunk stands: a hash of its length and its first bytes."""
+    size = pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(chunks.buffers()[2] or b"", dtype=np.uint8)
+    wide = pa.types.is_large_string(chunks.type)
+    first = np.frombuffer(chunks.buffers()[1], dtype=np.int64 if wide else np.int32)[chunks.offset : chunks.offset + len(chunks)]
+    found = size.astype(np.uint64)
+    for k in range(min(HASHED, int(size.max(initial=0)))):
+        more = np.flatnonzero(size > k)
+        found[more] = (found[more] ^ data[first[more].astype(np.int64) + k]) * _PRIME
+    return (found ^ found >> np.uint64(29)) * _PRIME >> np.uint64(64 - BITS)
+
+
+def _chunks_met(bits: np.ndarray):
     """did, lang and each distinct chunk of a document whose bit is set."""
 
+    def asked(chunks: pa.Array) -> np.ndarray:
+        place = _places(chunks)
+        return bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunks, row, code, _ in _distinct(batch):
-                places = [crc32(c) & BITS - 1 for c in chunks.cast(pa.binary()).to_pylist()]
-                asked = np.array([bits[p >> 3] >> (p & 7) & 1 for p in places], dtype=bool)
-                use = asked[code] if len(asked) else np.zeros(0, dtype=bool)
-                columns = [batch.column(c).take(pa.array(row[use])) for c in ("did", "lang")]
-                yield pa.RecordBatch.from_arrays([*columns, chunks.take(pa.array(code[use]))], names=["did", "lang", "chunk"])
+            for chunks, row, code, _ in _distinct(batch, asked):
+                columns = [batch.column(c).take(pa.array(row)) for c in ("did", "lang")]
+                yield pa.RecordBatch.from_arrays([*columns, chunks.take(pa.array(code))], names=["did", "lang", "chunk"])
             tidy()
 
     return run
 
 
-def _bitmap(chunks: DataFrame) -> bytes:
-    """A bit for the crc32 of every chunk, folded in Spark to at most ``BITS / 64`` numbers."""
-    place = F.crc32(F.col("chunk").cast("binary")).bitwiseAND(F.lit(BITS - 1))
-    word = F.shiftright(place, 6).alias("word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    out = np.zeros(BITS // 64, dtype=np.uint64)
-    for row in chunks.groupBy(word).agg(F.bit_or(bit).alias("bits")).collect():
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0)).astype(np.int64))], names=["place"])
+
+
+def _bitmap(chunks: DataFrame) -> np.ndarray:
+    """The bits of all chunks, folded in Spark to at most ``2 ** BITS / 64`` numbers."""
+    placed = chunks.select("chunk").mapInArrow(_place_rows, "place long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    out = np.zeros(1 << BITS - 6, dtype=np.uint64)
+    for row in placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
         out[row["word"]] = row["bits"] % (1 << 64)
-    return out.astype("<u8").tobytes()
+    return out
 
 
 def _group_id() -> Column:

@@ -29,7 +29,7 @@ FIT_DOCS = 5000
 #: Characters of all texts of the fit; one that would exceed what is left is passed over for the next.
 FIT_CHARS = 30_000_000
 #: Score from which a sentence counts beside the worst one. The faint scores of many harmless ones would add up.
-FAINT = 0.2
+FAINT = 0.5
 #: Fitting documents that must hold a word for it to get a weight.
 MIN_DOCS = 4
 ROUNDS = 200
@@ -163,7 +163,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column
     at most ``FIT_CHARS`` characters of their documents; of several texts of an id the shortest is taken."""
     rows = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic"), (usable if usable is not None else F.lit(True)).alias("use"))
     rows = rows.where("use AND doc_id IS NOT NULL AND toxic IS NOT NULL")
-    low = rows.where(below_share(F.col("doc_id"), FIT_DOCS, rows.count()))
+    low = rows.where(below_share(F.col("doc_id"), FIT_DOCS, rows.agg(F.approx_count_distinct("doc_id")).first()[0]))
     few = low.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_DOCS).select("doc_id", "toxic").collect()
     if not few:
         return train([], [])

@@ -79,3 +79,25 @@ def test_query(spark, folder):
         assert rows[d.doc_id].n_tokens == len(ids)
         assert rows[d.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_long_words_as_the_library(monkeypatch):
+    """Words of one letter, of few letters and of any, on both sides of the length that is merged by itself."""
+    made = bpe.ByteBpe(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made.ranks, special_tokens={})
+    rng = random.Random(4)
+    words = ["a" * 3000, "=" * 5000, "ab" * 2500, "".join(rng.choice("abcdeé") for _ in range(9000)), "z" * bpe.LONG_WORD, "z" * (bpe.LONG_WORD + 1)]
+    for word in words:
+        assert made.encode(word).tolist() == library.encode_ordinary(word)
+    for word in words:
+        assert made.merged(word.encode()) == made.replay([word.encode()])[0]
+    ids = made.encode("a" * 1_000_000)
+    assert made.decode(ids) == b"a" * 1_000_000 and len(set(ids.tolist())) == 1
+
+
+def test_a_task_leaves_no_words_behind(spark, make_docs):
+    made = bpe.ByteBpe(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    made.encode("some words to remember")
+    assert made.words or made.chunks
+    made.forget()
+    assert not made.words and not made.chunks and not made.words.old

@@ -120,3 +120,52 @@ def test_toxicity_held_out(spark, folder):
     right = sum(r.toxic == r.predicted for r in held) / len(held)
     caught = [r.predicted for r in held if r.toxic]
     assert len(held) > 500 and right > 0.96 and sum(caught) / len(caught) > 0.75
+
+
+def test_noisy_or_against_a_plain_loop():
+    texts, labels = toxic_corpus(300)
+    model = toxicity.train(texts, labels)
+    some = [*texts[:40], "", "gamma. you vile alpha. what a vile vile beta! delta", "vile. " * 5]
+    got, top, where = model.score(some)
+    for i, text in enumerate(some):
+        p = [s for _, _, s in model.sentences(text)] or [1 / (1 + np.exp(-model.bias))]
+        counted = [s for s in p if s >= toxicity.FAINT] or [max(p)]
+        assert got[i] == pytest.approx(1 - np.prod([1 - s for s in counted]))
+        assert top[i] == pytest.approx(max(p)) and p[where[i]] == pytest.approx(max(p))
+
+
+def test_length_is_no_evidence(spark):
+    """Two million characters of clean texts that are left alone one by one, and a toxic sentence among them."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(spark, docs, labels)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    own = model.score([r.text for r in rows])[0]
+    clean = "\n".join(r.text for r, s in zip(rows, own, strict=True) if not r.toxic and s < 0.5)
+    assert sum(s >= 0.5 for r, s in zip(rows, own, strict=True) if not r.toxic) <= 0.002 * len(rows)
+    clean = (clean * (1 + 2_000_000 // len(clean)))[:2_000_000]
+    toxic = max((r.text for r in rows if r.toxic and len(r.text) < 2000), key=lambda t: model.score([t])[0][0])
+    a, b, _ = max(model.sentences(toxic), key=lambda s: s[2])
+    score, _, where = model.score([clean, clean[:1_000_000] + "\n" + toxic[a:b] + "\n" + clean[1_000_000:]])
+    assert score[0] < 0.5 <= score[1] and where[1] > 1000
+
+
+def test_fits_read_an_id_once(spark):
+    """One id on 100,000 rows is one text of the fit, and no task ranks what all rows of a language have sent."""
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("ba ko mi").alias("text"), F.lit("x").alias("lang"))
+    few = [(i, "ba ko mi " * (i % 5 + 1), "x") for i in range(50)] + [(100 + i, "schu nge ei " * (i % 5 + 1), "y") for i in range(50)]
+    docs = many.unionByName(spark.createDataFrame(few, "doc_id long, text string, lang string"))
+    model = langid.fit(spark, docs)
+    assert model.labels == ["x", "y"] and model.predict(["mi ko ba", "nge schu"])[0] == ["x", "y"]
+    labels = spark.createDataFrame([(r[0], int(r[2] == "y")) for r in few] + [(7, 0)] * 20, "doc_id long, toxic int")
+    found = toxicity.fit(spark, docs, labels)
+    assert (found.score(["nge schu", "ba ko"])[0] >= 0.5).tolist() == [True, False]
+
+
+def test_the_fit_is_bounded_by_characters(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: taken.append(texts))
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 1000)
+    docs = spark.createDataFrame([(i, "a" * (10 if i % 4 else 900)) for i in range(80)], "doc_id long, text string")
+    toxicity.fit(spark, docs, docs.selectExpr("doc_id", "0 AS toxic"))
+    assert 10 <= len(taken[0]) <= 100 and sum(map(len, taken[0])) <= 1000
