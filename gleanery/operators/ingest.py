@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
 from .normalize import from_events, from_legacy, reject_reason
 
 
@@ -58,10 +59,17 @@ def numbered_after(highest: int, rows: DataFrame, place: str) -> DataFrame:
 
 
 def new_articles(existing: DataFrame, candidates: DataFrame, order: str) -> DataFrame:
-    """Candidate rows to append, first of each URL, with ids following the highest stored one."""
+    """Candidate rows to append, first of each URL, numbered after the highest stored id without gaps.
+
+    The rows are stored before they are numbered, so that numbers cannot differ between two evaluations.
+    """
+    spark = candidates.sparkSession
     fresh = absent_from(first_per_url(candidates, order), existing).drop(order)
-    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
-    return fresh.select((highest + 1 + F.monotonically_increasing_id()).alias("id"), *fresh.columns)
+    placed = fresh.withColumn("_place", F.monotonically_increasing_id())
+    path = work_dir(spark, "new-articles")
+    placed.write.parquet(path)
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return numbered_after(highest, spark.read.schema(placed.schema).parquet(path), "_place")
 
 
 def ingest_batch(

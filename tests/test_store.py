@@ -244,6 +244,7 @@ def test_legacy_import(spark, tmp_path):
         ("u4", "d", None, "[]", None, "2026-07-20T12:00:00.000Z"),
     ]
     assert min(r["id"] for r in got) > 41
+    assert sorted(r["id"] for r in got) == [42, 43]
 
 
 def test_csv_round_trip(spark, make_articles, tmp_path):
