@@ -97,6 +97,7 @@ def join_labels(items: Column, labels: Sequence[str] = LABELS) -> Column:
 
 def split_labels(cell: Column) -> Column:
     """Elements of a ``|``-separated cell: one outer quote dropped on each side, blanks dropped."""
+    # Fixed format of the annotation files: cells may stand in quotes.
     bare = F.regexp_replace(F.coalesce(cell, F.lit("")), '^"|"$', "")
     parts = F.transform(F.split(bare, r"\|", -1), strip_white)
     return F.filter(parts, lambda t: t != "")

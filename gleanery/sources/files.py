@@ -102,4 +102,5 @@ def number_in_order(rows: DataFrame, split: list[str], within: str) -> DataFrame
 
 
 def _is_header(line: str) -> bool:
+    # Fixed format of the annotation files: the names of the two columns.
     return re.match(r"id\s*,\s*themes_manuels", line, re.IGNORECASE) is not None
