@@ -4,7 +4,7 @@ Every document is measured once, inside its row; rules are comparisons of these
 then counted by host, with a map-side fold, so that a host with a third of all rows sends a row per task. A host's
 failure rate is shrunk towards the rate of the corpus by a beta prior whose strength is estimated from how far hosts
 differ beyond chance (moments of the beta-binomial); few documents therefore never condemn a host. A host fails if the
-shrunk rate of a rule reaches ``RATE`` and its odds are ``ODDS`` times those of the corpus; its documents go with it.
+shrunk rate of a rule reaches ``RATE`` and its odds exceed ``ODDS`` times those of the corpus; its documents go with it.
 
 Defined results: NULL and empty texts have no words and fail the base rules; a document without host is judged by
 itself alone, though it counts for the corpus; with a single host nothing stands out, so no host fails; repeated rows
@@ -14,6 +14,9 @@ prefix where the table has columns of their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ MIN_WORDS = 50
 RUN = 3
 RATE = 0.5
 ODDS = 4.0
+#: Documents the prior counts as at least: where hosts differ very much, one failure must not condemn a small host.
+WEAKEST = 10.0
 #: Documents the prior counts as at most; hosts that do not differ beyond chance would ask for infinitely many.
 STRONGEST = 1e9
 
@@ -121,7 +126,7 @@ def _strengths(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, flo
         room = chance * (whole.n - whole.nn / whole.n - (whole.hosts - 1))
         # The intra-host correlation is 1 / (1 + a + b).
         share = between / room if room > 0 else 0.0
-        found[name] = (mean, min(max(1 / share - 1, 0.0), STRONGEST) if share > 0 else STRONGEST)
+        found[name] = (mean, min(max(1 / share - 1, WEAKEST), STRONGEST) if share > 0 else STRONGEST)
     return found
 
 
@@ -134,9 +139,9 @@ def host_verdicts(spark: SparkSession, failures: DataFrame, host: str, names: li
     found = hosts
     for name, (mean, strength) in _strengths(hosts, names).items():
         rate = (F.col(name) + mean * strength) / (F.col("n") + strength)
-        stands_out = rate * (1 - mean) >= ODDS * mean * (1 - rate)
+        stands_out = rate * (1 - mean) > ODDS * mean * (1 - rate)
         found = found.withColumn(f"rate_{name}", rate).withColumn(f"bad_{name}", (rate >= RATE) & stands_out)
-    return found.withColumn("host_failed", F.greatest(*[F.col(f"bad_{c}") for c in names]))
+    return found.withColumn("host_failed", reduce(or_, [F.col(f"bad_{c}") for c in names], F.lit(False)))
 
 
 def judge(spark: SparkSession, docs: DataFrame, host: str = "source", text: str = "text", prefix: str = "") -> DataFrame:

@@ -218,11 +218,11 @@ WITH docs AS (
            (f / n) * (1 - f / n) * (n - nn / n - (k - 1)) AS room FROM sums
 ), priors AS (
     SELECT rule, mean, CASE WHEN room > 0 AND between_hosts > 0
-                            THEN least(greatest(room / between_hosts - 1, 0), 1e9) ELSE 1e9 END AS strength FROM moments
+                            THEN least(greatest(room / between_hosts - 1, 10), 1e9) ELSE 1e9 END AS strength FROM moments
 ), rates AS (
     SELECT source, mean, (f + mean * strength) / (n + strength) AS rate FROM failures JOIN priors USING (rule)
 ), bad AS (
-    SELECT DISTINCT source FROM rates WHERE rate >= 0.5 AND rate * (1 - mean) >= 4 * mean * (1 - rate)
+    SELECT DISTINCT source FROM rates WHERE rate >= 0.5 AND rate * (1 - mean) > 4 * mean * (1 - rate)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
        bad.source IS NOT NULL AS host_failed, NOT (short OR repetitive) AND bad.source IS NULL AS kept
