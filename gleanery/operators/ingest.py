@@ -24,9 +24,9 @@ def first_per_url(rows: DataFrame, order: str) -> DataFrame:
     """The earliest row of each URL.
 
     The rank filter also runs before the shuffle, so a URL sent again and again costs each task
-    one row.
+    one row. URLs begin alike, so rows are sorted by their hash before the text is compared.
     """
-    rank = F.row_number().over(Window.partitionBy("url").orderBy(order))
+    rank = F.row_number().over(Window.partitionBy(F.xxhash64("url"), "url").orderBy(order))
     return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 

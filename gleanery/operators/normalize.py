@@ -57,6 +57,16 @@ def from_events(events: DataFrame, now: str | dt.datetime, *keep: str) -> DataFr
     )
 
 
+def candidates(events: DataFrame) -> DataFrame:
+    """Events that can be stored, as they came but for the link, which is the ``url`` that new ones are told by."""
+    return events.where(reject_reason().isNull()).withColumnRenamed("link", "url")
+
+
+def from_candidates(rows: DataFrame, now: str | dt.datetime, *keep: str) -> DataFrame:
+    """Article rows (without id) of :func:`candidates`."""
+    return from_events(rows.withColumnRenamed("url", "link"), now, *keep)
+
+
 def from_legacy(records: DataFrame, now: str | dt.datetime, *keep: str) -> DataFrame:
     """Article rows of the former file format; values are kept as they are, zero scores included.
 

@@ -193,8 +193,8 @@ def event_records(spark: SparkSession, folder: str) -> DataFrame:
     Every event is sent, and the errors are sent a second time under the same link with another
     title, so first-come-first-stored has something to decide. Sign-ups lack a title.
     """
-    e = table(spark, folder, "events")
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    kind, k = F.col("event_type"), F.col("k")
     moment = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
     mail = F.concat(F.date_format(moment, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     row = e.select(

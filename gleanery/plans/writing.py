@@ -11,7 +11,7 @@ from ..functions.jsonarrays import as_array
 from ..model import LABEL_HYPOTHESES
 from ..operators import sampling
 from ..operators.ingest import ingest_batch, legacy_batch
-from ..operators.normalize import from_events, reject_reason
+from ..operators.normalize import candidates, from_candidates
 from ..session import work_dir
 from ..sources import files
 from ..sources.store import Store
@@ -157,14 +157,14 @@ def _first_sends(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 def _filled_store(spark: SparkSession, folder: str) -> Store:
     """A store ingested in two batches; the errors and their second copies arrive late."""
     store = Store(spark, work_dir(spark, "store")).create()
-    valid = event_records(spark, folder).where(reject_reason().isNull())
+    valid = candidates(event_records(spark, folder))
     late = F.col("source") == "error"
-    on_time = from_events(valid.where(~late), CLOCK, "rang")
-    store.append_new(on_time, "rang")
+    shape = lambda rows: from_candidates(rows, CLOCK)
+    store.append_new(valid.where(~late), "rang", shape)
     store.rebuild()
-    second = from_events(valid.where(late), CLOCK, "rang")
-    store.append_new(second, "rang")
-    store.refresh_days(store.touched_days(second))
+    second = valid.where(late)
+    store.append_new(second, "rang", shape)
+    store.refresh_days(store.touched_days(shape(second)))
     return store
 
 

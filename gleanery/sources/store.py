@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,13 +97,16 @@ class Store:
         self.snapshots.commit({**state, "behind": True})
         self._store(rows)
 
-    def append_new(self, candidates: DataFrame, order: str) -> int:
-        """Insert-or-ignore on the URL; returns the number of new articles."""
+    def append_new(self, candidates: DataFrame, order: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Insert-or-ignore on the URL; returns the number of new articles.
+
+        ``shape`` makes article rows of raw candidates; only those that are new go through it.
+        """
         state = self._covered(self._settled())
         known = self.index.known(state, candidates)
         fresh = first_per_url(absent_from(candidates, known), order).drop(order)
         # Stored before they are numbered, so that numbers cannot differ between two evaluations.
-        placed = fresh.withColumn("place", F.monotonically_increasing_id())
+        placed = (shape(fresh) if shape else fresh).withColumn("place", F.monotonically_increasing_id())
         stage = f"lots/{uuid.uuid4().hex}"
         placed.write.parquet(f"{self.root}/{stage}")
         lot = {"stage": stage, "after": state.get("highest", 0)}

@@ -19,7 +19,7 @@ from .snapshots import Snapshots, by_tier
 SCHEMA = "h long, url string"
 #: Hashes of a batch that are sent along with the scan; above it, all runs are joined with the batch.
 LOOKUP = 5_000
-SLICE_ROWS = 4_000_000
+SLICE_ROWS = 500_000
 FANOUT = 8
 SMALLEST = 10_000
 

@@ -15,7 +15,7 @@ from ..functions.labels import score_pairs
 from ..model import EVENT_SCHEMA
 from ..operators.classify import label_updates, labels_from_scores
 from ..operators.ingest import rejected
-from ..operators.normalize import from_events, reject_reason
+from ..operators.normalize import candidates, from_candidates
 from ..sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -43,17 +43,16 @@ def ingest_step(
         clock = now() if now else dt.datetime.now(dt.timezone.utc)
         # The rank inside one split comes last: files are ranked by age, then name and position.
         arrival = F.struct("lieu", F.monotonically_increasing_id().alias("n"))
-        events = batch.withColumn("arrivee", arrival).drop("lieu")
-        # Normalised once; the URL check, the write and the refresh all read it.
-        candidates = from_events(events.where(reject_reason().isNull()), clock, "arrivee").persist()
+        # Read once, for the URL check, the write and the rejects; only new rows are normalised.
+        events = batch.withColumn("arrivee", arrival).drop("lieu").persist()
         try:
-            store.append_new(candidates, "arrivee")
+            store.append_new(candidates(events), "arrivee", lambda rows: from_candidates(rows, clock))
             if rejects_path:
                 # A folder per batch: a replay replaces what it wrote.
                 rejected(events).drop("arrivee").write.mode("overwrite").json(f"{rejects_path}/lot={epoch}")
             _refresh(store, epoch)
         finally:
-            candidates.unpersist()
+            events.unpersist()
 
     return step
 

@@ -299,3 +299,17 @@ def test_first_per_url_filters_before_the_shuffle(spark):
     rows = spark.range(10).select((F.col("id") % 2).cast("string").alias("url"), "id")
     plan = plan_of(ingest.first_per_url(rows, "id"))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_only_new_rows_of_a_batch_are_normalised(spark, store, tmp_path, monkeypatch):
+    step = ingest_step(store, lambda: CLOCK, str(tmp_path / "refus"))
+    place = F.lit(0).alias("lieu")
+    step(events(spark, {}, {"title": ""}).drop("rang").select("*", place), 0)
+    read = normalize.normalize_date
+    again = lambda text: F.when(text == BASE["date"], F.raise_error(F.lit("again")).cast("string")).otherwise(read(text))
+    monkeypatch.setattr(normalize, "normalize_date", again)
+    step(events(spark, {"title": "resent"}, {"link": "b", "date": "2026-01-16"}, {"link": ""}).drop("rang").select("*", place), 1)
+    got = {r["url"]: (r["titre"], str(r["jour"])) for r in store.articles().collect()}
+    assert got == {BASE["link"]: ("Un article", "2026-01-15"), "b": ("Un article", "2026-01-16")}
+    refused = spark.read.json(str(tmp_path / "refus")).orderBy("lot")
+    assert [(r["lot"], r["motif"]) for r in refused.collect()] == [(0, "title missing"), (1, "link missing")]
