@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of
@@ -39,6 +39,22 @@ def distinct_between(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.agg(*estimates)
 
 
+def exactly_between(articles: DataFrame, column: str, ranges: DataFrame, name: str) -> DataFrame:
+    """``debut, fin`` of every range (both days included) and ``name``, the exact distinct values of ``column``, which
+    are those of ``articles`` by ``jour``.
+
+    A range counts a value on the first of its days there, which is the one whose day before, if any, lies ahead of
+    the range. So values are told apart once, however many ranges hold them; ranges meet the counts by pair of days.
+    """
+    ranges = ranges.select("debut", "fin").distinct()
+    days = articles.where(F.col(column).isNotNull() & F.col("jour").isNotNull()).select("jour", column).distinct()
+    before = F.lag("jour").over(Window.partitionBy(F.xxhash64(column), column).orderBy("jour"))
+    steps = days.select("jour", before.alias("avant")).groupBy("jour", "avant").agg(F.count("*").alias("n"))
+    first = F.col("avant").isNull() | (F.col("avant") < F.least("debut", "fin"))
+    found = by_day(ranges, "jour").join(steps, "jour", "left").groupBy("debut", "fin")
+    return found.agg(F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias(name))
+
+
 def by_day(ranges: DataFrame, name: str) -> DataFrame:
     """A row per day of every range ``debut, fin``."""
     return ranges.select("debut", "fin", F.explode(F.sequence("debut", "fin")).alias(name))

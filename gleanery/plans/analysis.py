@@ -13,6 +13,7 @@ from ..operators.classify import labels_from_scores, outcome_counts
 from ..operators.cooccurrence import BUCKETS, item_tags, tag_cooccurrence
 from ..operators.trends import fine_trend, weekly_trend
 from ..operators.updates import keyed_update
+from ..session import work_dir
 from ..sources.tables import table
 from .catalog import Query
 from .views import (
@@ -203,7 +204,12 @@ def _regularity(spark: SparkSession, folder: str) -> DataFrame:
 
 def _distinct_by_sketch(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct sources and titles of ten ranges of days, exactly, and whether the sketches come within 2 %."""
-    a = articles(spark, folder).withColumn("jour", day_of(F.col("date_article"))).where("jour IS NOT NULL")
+    dated = articles(spark, folder).withColumn("jour", day_of(F.col("date_article"))).where("jour IS NOT NULL")
+    # Days are read from their texts once; ranges, sketches and exact counts all need them.
+    path = work_dir(spark, "days")
+    dated = dated.select("id", "jour", "source", "titre")
+    dated.write.parquet(path)
+    a = spark.read.schema(dated.schema).parquet(path)
     ranges = a.agg(F.min("jour").alias("a"), F.max("jour").alias("b")).select(
         "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.date_add("a", i * 97))).alias("debut")
     )
@@ -211,8 +217,8 @@ def _distinct_by_sketch(spark: SparkSession, folder: str) -> DataFrame:
     # Two lots, as they would be stored one after the other.
     lots = [sketches.daily_sketches(a.where(F.col("id") % 2 == i), ["source", "titre"]) for i in (0, 1)]
     found = sketches.distinct_between(sketches.merged(lots[0].unionByName(lots[1])), ranges)
-    exact = sketches.by_day(ranges, "jour").join(a, "jour", "left").groupBy("debut", "fin")
-    exact = exact.agg(F.countDistinct("source").alias("sources"), F.countDistinct("titre").alias("titres"))
+    sources = sketches.exactly_between(a, "source", ranges, "sources")
+    exact = sources.join(sketches.exactly_between(a, "titre", ranges, "titres"), ["debut", "fin"])
     near = lambda estimate, n: F.abs(estimate - n) <= 0.02 * n
     both = found.join(exact, ["debut", "fin"]).withColumn("proche", near(F.col("source"), F.col("sources")) & near(F.col("titre"), F.col("titres")))
     return _text(both.select("debut", "fin", "sources", "titres", "proche"), "debut", "fin")

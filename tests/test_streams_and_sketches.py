@@ -75,3 +75,18 @@ def test_sketches_over_ranges_of_days(spark):
         for name, k in (("source", 1), ("titre", 2)):
             n = len({r[k] for r in held} - {None})
             assert found[a, b][name] == pytest.approx(n, rel=0.02), (a, b, name)
+
+
+def test_exact_counts_over_ranges_of_days(spark):
+    rng = random.Random(2)
+    first = dt.date(2026, 1, 1)
+    rows = [(first + dt.timedelta(rng.randint(0, 60)), rng.choice([None, *(f"s{i}" for i in range(70))])) for _ in range(400)]
+    rows += [(None, "undated"), (first + dt.timedelta(90), None), *[(first, "often")] * 50]
+    df = spark.createDataFrame(rows, "jour date, source string")
+    spans = [(first + dt.timedelta(a), first + dt.timedelta(b)) for a, b in ((0, 0), (3, 30), (10, 12), (0, 90), (90, 91), (200, 210), (3, 30))]
+    found = sketches.exactly_between(df, "source", spark.createDataFrame(spans, "debut date, fin date"), "n")
+    held = {(a, b): len({s for d, s in rows if d and a <= d <= b} - {None}) for a, b in spans}
+    assert sorted(as_tuples(found)) == sorted((a, b, n) for (a, b), n in held.items())
+    # Values are told apart before they meet the ranges, not once in every range.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan
