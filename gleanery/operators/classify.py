@@ -42,10 +42,12 @@ def labels_from_scores(
 
 
 def label_updates(labelled: DataFrame, key: str = "url", *keep: str) -> DataFrame:
-    """``key, themes_ml, score_confiance_ml`` for :func:`updates.keyed_update`; failures stay queued."""
-    return labelled.where(F.col("erreur").isNull()).select(
-        key, *keep, F.to_json("themes").alias("themes_ml"), F.col("confiance").alias("score_confiance_ml")
-    )
+    """``key, themes_ml, score_confiance_ml`` for :func:`updates.keyed_update`; failures stay queued.
+
+    Failures are left out by generating no row: a filter would be pushed below the labels and read every response again.
+    """
+    labels = F.struct(F.to_json("themes").alias("themes_ml"), F.col("confiance").alias("score_confiance_ml"))
+    return labelled.select(key, *keep, F.inline(F.when(F.col("erreur").isNull(), F.array(labels))))
 
 
 def outcome_counts(labelled: DataFrame) -> DataFrame:

@@ -313,3 +313,12 @@ def test_only_new_rows_of_a_batch_are_normalised(spark, store, tmp_path, monkeyp
     assert got == {BASE["link"]: ("Un article", "2026-01-15"), "b": ("Un article", "2026-01-16")}
     refused = spark.read.json(str(tmp_path / "refus")).orderBy("lot")
     assert [(r["lot"], r["motif"]) for r in refused.collect()] == [(0, "title missing"), (1, "link missing")]
+
+
+def test_responses_are_read_once(spark):
+    bodies = ['[{"label": "%s", "score": 0.9}]' % next(iter(LABEL_HYPOTHESES.values())), '{"error": "overloaded"}', None]
+    rows = spark.createDataFrame([(f"u{i}", b) for i, b in enumerate(bodies)], "url string, reponse string")
+    found = classify.label_updates(classify.labels_from_scores(rows, score_pairs(F.col("reponse"))), "url")
+    assert as_tuples(found) == [("u0", f'["{next(iter(LABEL_HYPOTHESES))}"]', 0.9)]
+    filters = [line for line in plan_of(found).splitlines() if "Filter" in line]
+    assert not any("parse_json" in line for line in filters)
