@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,13 @@ READ_IDS = 1 << 21
 #: Ids coded in one call while writing; whole blocks.
 RUN_IDS = 64 * huffman.BLOCK_IDS
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
-_MARKED = re.compile(rb"[a-z]+[.,;:!?]")
+#: What may be a word, and ASCII marks after it; an apostrophe is not among them, since it may stand before letters.
+_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _is_word(run: bytes) -> bool:
+    """Letters only, composed and lower-cased ones too, so that the pattern takes the run as one piece."""
+    return run.isalpha() or not run.isascii() and unicodedata.normalize("NFC", run.decode()).lower().isalpha()
 
 
 class WordTokenizer:
@@ -65,8 +72,9 @@ class WordTokenizer:
 
     def _ask(self, runs: list[bytes]) -> None:
         """Plain words go to the library many in a text, each ending with an id that closes a word."""
-        words = [r for r in runs if r.isalpha()]
-        others = [r for r in runs if not r.isalpha()]
+        words, others = [], []
+        for r in runs:
+            (words if _is_word(r) else others).append(r)
         groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
         for k in range(0, len(groups), ASKED_TEXTS):
             part = groups[k : k + ASKED_TEXTS]
@@ -90,14 +98,17 @@ class WordTokenizer:
     def _runs(self, runs: list[bytes]) -> list[bytes]:
         known = self.known
         new = known.missing(runs)
-        marked = [r for r in new if _MARKED.fullmatch(r)]
-        inside = set(marked)
-        parts = {p for r in marked for p in (r[:-1], r[-1:]) if p not in known}
+        marked = {}
+        for r in new:
+            found = _MARKED.fullmatch(r)
+            if found and _is_word(found[1]):
+                marked[r] = found.groups()
+        parts = {p for pair in marked.values() for p in pair if p not in known}
         for p in parts & known.old.keys():
             known[p] = known.old[p]
-        self._ask([r for r in new if r not in inside] + sorted(parts - set(new) - known.keys()))
-        for r in marked:
-            known[r] = known[r[:-1]] + known[r[-1:]]
+        self._ask([r for r in new if r not in marked] + sorted(parts - set(new) - known.keys()))
+        for r, (word, marks) in marked.items():
+            known[r] = known[word] + known[marks]
         return [known[r] for r in runs]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -96,3 +96,15 @@ def test_query(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc)
         start += len(ids)
     assert not rows
+
+
+def test_words_of_any_letters_and_their_marks_share_the_library_calls(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        tokenizer = idfiles.WordTokenizer(file.read())
+    texts = ["été été.$$$ déjà*** déjà,", "İstanbul. क़) क़. ét. ΣΑΣ, ß_ x²! don't. l'été,"]
+    asked, ask = [], tokenizer._ask
+    monkeypatch.setattr(tokenizer, "_ask", lambda runs: (asked.extend(runs), ask(runs)))
+    ids, ends = tokenizer.encode_batch(pa.array(texts))
+    found = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    assert found == [e.ids for e in tokenizer.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert "été.$$$".encode() not in asked and "déjà***".encode() not in asked and "été".encode() in asked
