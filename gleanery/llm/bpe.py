@@ -28,7 +28,7 @@ from .common import SLICE_BYTES, Remembered, gather, slices, texts_of, tidy, wit
 #: Bytes from which a word is merged by itself, since many places of one rank would each cost a pass.
 LONG_WORD = 2_000
 #: Words kept per Python worker and generation, and words laid out at a time; both only bound memory.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 30_000
 REPLAY_WORDS = 100_000
 
 
@@ -42,22 +42,30 @@ def _unicode_pattern(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
+def pairs_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every two tokens that make a third, as sorted keys, and the rank of the third; a key that none has ends them."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            x, y = ranks.get(token[:k]), ranks.get(token[k:])
+            if x is not None and y is not None:
+                pairs[x << 32 | y] = rank
+    keys = sorted(pairs)
+    return np.array([*keys, 1 << 62], dtype=np.int64), np.array([*(pairs[k] for k in keys), -1], dtype=np.int64)
+
+
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
+    def __init__(
+        self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN,
+        pairs: tuple[np.ndarray, np.ndarray] | None = None,
+    ) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(_unicode_pattern(pattern))
         self.cut = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        pairs = {}
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                x, y = ranks.get(token[:k]), ranks.get(token[k:])
-                if x is not None and y is not None:
-                    pairs[x << 32 | y] = rank
-        self.pair_keys = np.array([*sorted(pairs), 1 << 62], dtype=np.int64)
-        self.pair_ranks = np.array([*(pairs[k] for k in sorted(pairs)), -1], dtype=np.int64)
+        self.pair_keys, self.pair_ranks = pairs or pairs_of(ranks)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.first = np.array(
             [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int64
@@ -277,7 +285,8 @@ class _Shipped:
     """A broadcast vocabulary that says which one it is."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
-        self.sent = spark.sparkContext.broadcast((ranks, pattern))
+        # The pairs are found on the driver: the dictionary they come from is large, and all workers start at once.
+        self.sent = spark.sparkContext.broadcast((ranks, pattern, pairs_of(ranks)))
         self.id = hash((len(ranks), pattern, min(ranks, key=ranks.get), max(ranks, key=ranks.get)))
 
     @property
@@ -290,7 +299,7 @@ def _each(column: str, shipped: _Shipped, fields, emit: Callable) -> Callable:
         bpe = _bpe(shipped)
         try:
             for batch in batches:
-                for part in slices(batch, column, SLICE_BYTES // 2):
+                for part in slices(batch, column, SLICE_BYTES // 4):
                     texts = texts_of(part, column)
                     if part.num_rows == 1:
                         ids = bpe.encode(texts[0].as_py())

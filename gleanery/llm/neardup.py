@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of, with_output
+from .common import materialize, slices, texts_of, tidy, with_output
 from .components import components
 from .simhash import _forest, fold, links, shingle_hashes
 
@@ -88,6 +88,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
             for part in slices(batch, "text"):
                 columns = list(zip(*(describe(t.as_py()) for t in texts_of(part)), strict=True)) or [()] * 4
                 yield with_output(fields, [part.column(0), *map(list, columns)])
+            tidy()
 
     return rows.mapInArrow(run, "doc_id long, words binary, n long, prints array<long>, kept binary")
 
@@ -132,6 +133,7 @@ def verified(pairs: DataFrame, kept: DataFrame, least: float) -> DataFrame:
             sure = found >= np.where(sketch, least + MARGIN, least)
             use = pa.array(sure | sketch & (found >= least - MARGIN))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure)], names=["a", "b", "sure"]).filter(use)
+            tidy()
 
     return rows.select("a", "b", "kept_a", "kept_b").mapInArrow(run, "a long, b long, sure boolean")
 
@@ -156,6 +158,7 @@ def settled(spark: SparkSession, found: DataFrame, docs: DataFrame, kept: DataFr
                 for k in range(0, len(hashes), _ROWS):
                     part = hashes[k : k + _ROWS]
                     yield with_output(fields, [np.full(len(part), one), [digest] * len(part), part])
+            tidy()
 
     shingles = rows.mapInArrow(run, "doc_id long, words binary, shingle long")
     shingles = shingles.join(_sized(asked.select("doc_id", "words")), ["doc_id", "words"], "left_semi")

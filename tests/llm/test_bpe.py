@@ -101,3 +101,12 @@ def test_a_task_leaves_no_words_behind(spark, make_docs):
     assert made.words or made.chunks
     made.forget()
     assert not made.words and not made.chunks and not made.words.old
+
+
+def test_workers_are_given_the_pairs(monkeypatch):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"abca": 259}
+    pairs = bpe.pairs_of(ranks)
+    assert pairs[0].tolist()[-1] == 1 << 62 and sorted(set(pairs[1].tolist())) == [-1, 256, 257, 258, 259]
+    whole = bpe.ByteBpe(ranks).encode("abcabc bcab")
+    monkeypatch.setattr(bpe, "pairs_of", None)
+    assert bpe.ByteBpe(ranks, pairs=pairs).encode("abcabc bcab").tolist() == whole.tolist()
