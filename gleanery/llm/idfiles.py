@@ -11,8 +11,9 @@ their ids; an empty table writes no file and reads back no row.
 
 from __future__ import annotations
 
+import functools
 import json
-import re
+import os
 import struct
 import unicodedata
 import uuid
@@ -31,11 +32,11 @@ from pyspark.sql import types as T
 
 from ..session import work_dir
 from . import huffman
-from .common import SLICE_BYTES, Remembered, gather, materialize, slices, texts_of, with_output
+from .common import SLICE_BYTES, gather, materialize, slices, texts_of, with_output
 
 MAGIC = b"GLIDF1\n\0"
-#: Runs of text kept per Python worker and generation; it only bounds memory.
-CACHE_CHUNKS = 250_000
+#: Bytes of pieces of text, their ids and places kept per Python worker from one slice to the next; it only bounds memory.
+CACHE_BYTES = 48 << 20
 #: Words given to the library in one text.
 JOINED_WORDS = 500
 #: Texts per call of the library, whose results are many times larger than the ids taken from them.
@@ -45,103 +46,177 @@ READ_IDS = 1 << 21
 #: Ids coded in one call while writing; whole blocks.
 RUN_IDS = 64 * huffman.BLOCK_IDS
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
-#: What may be a word, and ASCII marks after it; an apostrophe is not among them, since it may stand before letters.
-_MARKED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-def _is_word(run: bytes) -> bool:
-    """Letters only, composed and lower-cased ones too, so that the pattern takes the run as one piece."""
-    return run.isalpha() or not run.isascii() and unicodedata.normalize("NFC", run.decode()).lower().isalpha()
+#: Kinds of bytes: white space, letters, digits, ASCII marks, apostrophes, and what is left.
+SPACE, LETTER, DIGIT, MARK, APOSTROPHE, OTHER = range(6)
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points below 0x10000 are letters, composed and lower-cased too, in every Unicode version of the library."""
+    old, found = unicodedata.ucd_3_2_0, np.zeros(1 << 16, dtype=bool)
+    for c in map(chr, range(0x80, 1 << 16)):
+        found[ord(c)] = old.category(c)[0] == "L" and unicodedata.normalize("NFC", c).lower().isalpha()
+    return found
+
+
+def _kind_table() -> bytes:
+    table = bytearray([OTHER]) * 256
+    for kind, members in ((SPACE, b" \t\n\x0b\f\r"), (DIGIT, b"0123456789"), (MARK, _MARKS), (APOSTROPHE, b"'")):
+        for c in members:
+            table[c] = kind
+    for c in (*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)):
+        table[c] = LETTER
+    return bytes(table)
+
+
+def _end_table() -> bytes:
+    """Whether a piece ends between two bytes, by 8 times the first one's kind plus the second one's."""
+    table = bytearray(256)
+    ends = {
+        SPACE: range(6), LETTER: (DIGIT, MARK, APOSTROPHE), DIGIT: (LETTER, DIGIT, MARK, APOSTROPHE),
+        MARK: (LETTER, DIGIT), APOSTROPHE: (DIGIT,), OTHER: (),
+    }
+    for first, seconds in ends.items():
+        for second in (SPACE, *seconds):
+            table[8 * first + second] = 1
+    return bytes(table)
+
+
+_BYTE_KINDS, _ENDS = _kind_table(), _end_table()
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8 text; all bytes of a letter are of the kind letter."""
+    kinds = np.frombuffer(bytearray(data.tobytes().translate(_BYTE_KINDS)), dtype=np.uint8)
+    for low, high, more in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        if not len(at):
+            continue
+        point = (data[at] & (0x1F if more == 1 else 0x0F)).astype(np.uint16)
+        for k in range(1, more + 1):
+            point = point << 6 | data[at + k] & 0x3F
+        at = at[_letters()[point]]
+        for k in range(more + 1):
+            kinds[at + k] = LETTER
+    return kinds
+
+
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of the lower-cased texts that the pattern never matches across, and the bound of each text's among them.
+
+    They end at white space, where letters, digits and ASCII marks meet, and after digits. An apostrophe stays with
+    what follows, since it may open a piece with letters; what is none of these kinds stays with its neighbours.
+    """
+    lower = pc.ascii_lower(texts).cast(pa.large_binary())
+    bounds = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    held = lower.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8)[bounds[0] : bounds[-1]] if held and held.size else np.zeros(0, dtype=np.uint8)
+    bounds = bounds - bounds[0]
+    kinds = _kinds(data)
+    inside = kinds != SPACE
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(_ENDS), dtype=bool)
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    begins &= inside
+    kept = data[inside]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return found, np.searchsorted(np.flatnonzero(begins), bounds)
 
 
 class WordTokenizer:
-    """The library's tokenizer, asked once per distinct run between white space.
+    """The library's tokenizer, asked once per distinct piece of the texts.
 
-    Its pattern never matches white space, it lower-cases letter by letter and composes no letter with a space,
-    so such runs are independent. Texts that hold special-token marks are given to the library whole.
+    Its pattern never matches white space, it lower-cases letter by letter and composes no letter with a space or an
+    ASCII mark, so the pieces are independent. Texts that hold special-token marks are given to the library whole.
     """
 
     def __init__(self, spec: bytes) -> None:
+        # a task has one core; the library's threads would only take those of other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.known = Remembered(CACHE_CHUNKS)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: Known pieces, the slice that last held each, and their ids: those of piece i are ids[bounds[i]:bounds[i + 1]].
+        self.known, self.met, self.slices = pa.array([], pa.binary()), np.zeros(0, dtype=np.int64), 0
+        self.ids, self.bounds = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def _ask(self, runs: list[bytes]) -> None:
-        """Plain words go to the library many in a text, each ending with an id that closes a word."""
-        words, others = [], []
-        for r in runs:
-            (words if _is_word(r) else others).append(r)
-        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        """Makes the runs known. Words go to the library many in a text, each ending with an id that closes a word."""
+        starts = np.cumsum([0, *map(len, runs)])[:-1]
+        is_word = np.logical_and.reduceat(_kinds(np.frombuffer(b"".join(runs), dtype=np.uint8)) == LETTER, starts)
+        words, others = np.flatnonzero(is_word), np.flatnonzero(~is_word).tolist()
+        groups = [words[i : i + JOINED_WORDS].tolist() for i in range(0, len(words), JOINED_WORDS)]
+        ids, sizes, order = [], [], []
         for k in range(0, len(groups), ASKED_TEXTS):
             part = groups[k : k + ASKED_TEXTS]
-            joined = [b" ".join(g).decode() for g in part]
+            joined = [b" ".join([runs[i] for i in g]).decode() for g in part]
             for group, found in zip(part, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, dtype="<u4")
-                ends = np.flatnonzero(self.closes[ids]) + 1
+                got = np.array(found.ids, dtype="<u4")
+                ends = np.flatnonzero(self.closes[got]) + 1
                 if len(ends) != len(group):
                     others += group
                     continue
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(group, (4 * ends).tolist(), strict=True):
-                    self.known[word] = raw[start:end]
-                    start = end
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
+                order += group
         for k in range(0, len(others), ASKED_TEXTS * JOINED_WORDS):
             part = others[k : k + ASKED_TEXTS * JOINED_WORDS]
-            texts = [r.decode() for r in part]
-            for run, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.known[run] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-
-    def _runs(self, runs: list[bytes]) -> list[bytes]:
-        known = self.known
-        new = known.missing(runs)
-        marked = {}
-        for r in new:
-            found = _MARKED.fullmatch(r)
-            if found and _is_word(found[1]):
-                marked[r] = found.groups()
-        parts = {p for pair in marked.values() for p in pair if p not in known}
-        for p in parts & known.old.keys():
-            known[p] = known.old[p]
-        self._ask([r for r in new if r not in marked] + sorted(parts - set(new) - known.keys()))
-        for r, (word, marks) in marked.items():
-            known[r] = known[word] + known[marks]
-        return [known[r] for r in runs]
+            found = self.tokenizer.encode_batch_fast([runs[i].decode() for i in part], add_special_tokens=False)
+            ids += [np.array(f.ids, dtype="<u4") for f in found]
+            sizes.append(np.array([len(f.ids) for f in found], dtype=np.int64))
+            order += part
+        bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        asked, ends = gather(np.concatenate(ids), bounds, np.argsort(order))
+        self.known = pa.concat_arrays([self.known, pa.array(runs, pa.binary())])
+        self.met = np.concatenate((self.met, np.full(len(runs), self.slices)))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + ends))
+        self.ids = np.concatenate((self.ids, asked))
+
+    def _forget(self) -> None:
+        """Keeps the pieces met last, half the bytes, when the known ones have become too many."""
+        sizes = np.asarray(pc.binary_length(self.known)) + 4 * np.diff(self.bounds) + 20
+        if sizes.sum() <= CACHE_BYTES:
+            return
+        latest = np.argsort(-self.met, kind="stable")
+        kept = np.sort(latest[np.cumsum(sizes[latest]) <= CACHE_BYTES // 2])
+        self.known, self.met = self.known.take(pa.array(kept)), self.met[kept]
+        self.ids, ends = gather(self.ids, self.bounds, kept)
+        self.bounds = np.concatenate(([0], ends))
+
+    def _places(self, runs: pa.Array) -> np.ndarray:
+        """Where each of the distinct runs is among the known ones."""
+        self._forget()
+        self.slices += 1
+        at = pc.index_in(runs, value_set=self.known)
+        new = runs.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        self.met[at[at >= 0]] = self.slices
+        if len(new):
+            at[at < 0] = len(self.known) + np.arange(len(new))
+            self._ask(new.to_pylist())
+        return at
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         special = pc.match_substring(texts, "<|")
         whole = np.flatnonzero(special.to_numpy(zero_copy_only=False))
-        plain = pc.if_else(special, "", texts)
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(plain))
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        spelled = parts.flatten().cast(pa.binary()).dictionary_encode()
-        runs = spelled.dictionary.to_pylist()
-        encoded = self._runs(runs)
-        index = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found, bounds = pieces(pc.if_else(special, "", texts))
+        spelled = found.dictionary_encode()
+        index = self._places(spelled.dictionary)[spelled.indices.to_numpy()]
+        flat, offsets = self.ids, self.bounds
         if len(whole):
-            found = self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
-            extra = [np.array(f.ids, dtype="<u4").tobytes() for f in found]
-            keep = np.ones(len(index), dtype=bool)
-            for w in whole:
-                keep[bounds[w] : bounds[w + 1]] = False
+            extra = self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            extra = [np.array(f.ids, dtype="<u4") for f in extra]
+            index = np.insert(index, bounds[whole], len(offsets) - 1 + np.arange(len(whole)))
             sizes = np.diff(bounds)
-            sizes[whole] = 0
-            clean, index = index[keep], np.zeros(0, dtype=np.int64)
-            cuts = np.concatenate(([0], np.cumsum(sizes)))
-            pieces, at = [], 0
-            for k, w in enumerate(whole):
-                pieces += [clean[cuts[at] : cuts[w]], np.array([len(runs) + k])]
-                at = w
-            index = np.concatenate([*pieces, clean[cuts[at] :]])
             sizes[whole] = 1
             bounds = np.concatenate(([0], np.cumsum(sizes)))
-            encoded = encoded + extra
-        flat = np.frombuffer(b"".join(encoded), dtype="<u4")
-        offsets = np.concatenate(([0], np.cumsum([len(e) // 4 for e in encoded], dtype=np.int64)))
+            flat = np.concatenate([flat, *extra])
+            offsets = np.concatenate((offsets, offsets[-1] + np.cumsum([len(e) for e in extra])))
         ids, ends = gather(flat, offsets, index)
         return ids, np.concatenate(([0], ends))[bounds[1:]]
 

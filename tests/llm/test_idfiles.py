@@ -108,3 +108,41 @@ def test_words_of_any_letters_and_their_marks_share_the_library_calls(monkeypatc
     found = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     assert found == [e.ids for e in tokenizer.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert "été.$$$".encode() not in asked and "déjà***".encode() not in asked and "été".encode() in asked
+
+
+def encoded(tokenizer, texts):
+    ids, ends = tokenizer.encode_batch(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def test_a_word_is_asked_once_whatever_marks_and_digits_stand_around_it(monkeypatch):
+    with open(PATH, "rb") as file:
+        tokenizer = idfiles.WordTokenizer(file.read())
+    asked, ask = [], tokenizer._ask
+    monkeypatch.setattr(tokenizer, "_ask", lambda runs: (asked.extend(runs), ask(runs)))
+    for texts in ["(Red) red, red-red red2red [été]-été! red"], ["", None], ["«red red's 'tis (red", "red/red's"]:
+        texts = [t or "" for t in texts]
+        assert encoded(tokenizer, texts) == [library_ids(t) for t in texts]
+    assert sorted(asked) == sorted(p.encode() for p in "red été ( ) , - 2 [ ]- ! «red 's 'tis /".split())
+
+
+def test_forgotten_pieces_are_asked_again(monkeypatch):
+    monkeypatch.setattr(idfiles, "CACHE_BYTES", 400)
+    with open(PATH, "rb") as file:
+        tokenizer = idfiles.WordTokenizer(file.read())
+    rng = random.Random(5)
+    for _ in range(30):
+        texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 20))) for _ in range(20)]
+        assert encoded(tokenizer, texts) == [library_ids(t) for t in texts]
+        tokenizer._forget()
+        assert len(tokenizer.known) <= 400 // 20 and tokenizer.bounds[-1] == len(tokenizer.ids)
+        assert len(tokenizer.known) == len(tokenizer.met) == len(tokenizer.bounds) - 1
+
+
+def test_any_character_next_to_letters_marks_and_digits():
+    with open(PATH, "rb") as file:
+        tokenizer = idfiles.WordTokenizer(file.read())
+    points = [*range(0x3000), *range(0x3000, 0x20000, 13)]
+    texts = [f"{c}! a{c}s.{c}{c}'s{c}1 ({c}) '{c}-á{c}={c}" for c in map(chr, points) if not "\ud800" <= c <= "\udfff"]
+    want = LIBRARY.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoded(tokenizer, texts) == [w.ids for w in want]
