@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,16 @@ class Store:
 
     # --- articles ---
 
+    @contextmanager
+    def kept(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows from files beside the tables, for as long as a batch is worked on. A crash leaves them behind, unread."""
+        path = f"{self.root}/batches/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self.snapshots.files.delete(path)
+
     def append(self, rows: DataFrame) -> None:
         """Adds numbered article rows as they are. URL index and aggregate learn of them later: the
         index with the next :meth:`append_new`, the aggregate from :meth:`refresh_days` or :meth:`rebuild`."""

@@ -44,15 +44,13 @@ def ingest_step(
         # The rank inside one split comes last: files are ranked by age, then name and position.
         arrival = F.struct("lieu", F.monotonically_increasing_id().alias("n"))
         # Read once, for the URL check, the write and the rejects; only new rows are normalised.
-        events = batch.withColumn("arrivee", arrival).drop("lieu").persist()
-        try:
+        # Kept in files: a cache takes the executors' heap from the sorts, and a lost executor's part is read again.
+        with store.kept(batch.withColumn("arrivee", arrival).drop("lieu")) as events:
             store.append_new(candidates(events), "arrivee", lambda rows: from_candidates(rows, clock))
             if rejects_path:
                 # A folder per batch: a replay replaces what it wrote.
                 rejected(events).drop("arrivee").write.mode("overwrite").json(f"{rejects_path}/lot={epoch}")
-            _refresh(store, epoch)
-        finally:
-            events.unpersist()
+        _refresh(store, epoch)
 
     return step
 

@@ -322,3 +322,32 @@ def test_responses_are_read_once(spark):
     assert as_tuples(found) == [("u0", f'["{next(iter(LABEL_HYPOTHESES))}"]', 0.9)]
     filters = [line for line in plan_of(found).splitlines() if "Filter" in line]
     assert not any("parse_json" in line for line in filters)
+
+
+def test_a_batch_is_read_once_and_kept_in_files_not_in_the_heap(spark, store, tmp_path, monkeypatch):
+    reads, plans, append = spark.sparkContext.accumulator(0), [], store.append_new
+
+    @F.udf("string")
+    def read(title):
+        reads.add(1)
+        return title
+
+    def noted(rows, *more):
+        plans.append(plan_of(rows))
+        return append(rows, *more)
+
+    def broken(rows, *more):
+        rows.count()
+        raise RuntimeError("lost executor")
+
+    sent = events(spark, {}, {"link": "b"}, {"title": ""}).drop("rang").select("*", F.lit(0).alias("lieu"))
+    step = ingest_step(store, lambda: CLOCK, str(tmp_path / "refus"))
+    monkeypatch.setattr(store, "append_new", noted)
+    step(sent.withColumn("title", read("title")), 0)
+    assert "FileScan parquet" in plans[0] and "InMemoryTableScan" not in plans[0]
+    assert reads.value == 3 and store.articles().count() == 2
+    assert [r["motif"] for r in spark.read.json(str(tmp_path / "refus")).collect()] == ["title missing"]
+    monkeypatch.setattr(store, "append_new", broken)
+    with pytest.raises(RuntimeError, match="lost executor"):
+        step(sent, 1)
+    assert store.snapshots.files.names(f"{store.root}/batches") == []
